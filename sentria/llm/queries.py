@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentria.llm import encoding, leaks, splitting
+from sentria.llm import encoding, leaks, overlap, repetition, residue, splits, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": residue.p1_found,
+    "p1_kinds": residue.p1_kinds,
+    "p1_clean": residue.p1_clean,
+    "p1_templates": residue.p1_templates,
+    "p4_found": repetition.p4_found,
+    "p4_shares": repetition.p4_shares,
+    "p4_ablation": repetition.p4_ablation,
+    "p6_found": overlap.p6_found,
+    "p6_report": overlap.p6_report,
+    "p7_found": splits.p7_found,
+    "p7_splits": splits.p7_splits,
+    "p7_report": splits.p7_report,
     "p8_ids": encoding.p8_ids,
     "p8_roundtrip": encoding.p8_roundtrip,
     "p9_found": leaks.p9_found,
