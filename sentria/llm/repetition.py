@@ -7,12 +7,13 @@ the ledger: policies test ``bits & mask``, and the ablation groups the ledger by
 
 Documents come as parts (rows) with an order. A part repeated with the same order and text counts
 once; null parts and null keys are left out; a document without words has share 0 and no bits.
-Words are runs of letters, in scripts without spaces single letters; case, digits and punctuation
-don't count.
+Words are runs of letters (in scripts without spaces, phrases: single letters would make ordinary
+phrases count as repeated runs); case, digits and punctuation don't count.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.llm.common import LETTER_WORD, table
+from sentria.llm.common import MARKS, table
 
 RUN = 6
+#: a run of letters; in scripts without spaces, a phrase
+LETTER_WORD = re.compile(f"(?:[^\\W\\d_]|[{MARKS}])+")
 #: name, share from which it fails
 RULES = (("repeated_run_share", 1 / 3), ("repeated_part_share", 0.3), ("top_trigram_share", 0.1), ("repeated_long_run_share", 0.2))
 #: versioned policies: the rules that reject a document
