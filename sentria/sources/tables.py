@@ -6,7 +6,9 @@ anything else, so that extra columns, whatever their names, never reach an opera
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder and read again: cuts the lineage, survives the loss
+    of executors and is smaller than a checkpoint. Removed when the session's process ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/sentria/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    atexit.register(_remove, spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone
+        pass
