@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentria.llm import encoding, leaks, overlap, repetition, residue, splits, splitting
+from sentria.llm import encoding, leaks, overlap, pairs, repetition, residue, sentences, splits, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": residue.p1_found,
     "p1_kinds": residue.p1_kinds,
     "p1_clean": residue.p1_clean,
     "p1_templates": residue.p1_templates,
+    "p2_found": pairs.p2_found,
+    "p2_rates": pairs.p2_rates,
+    "p3_found": sentences.p3_found,
+    "p3_sentences": sentences.p3_sentences,
     "p4_found": repetition.p4_found,
     "p4_shares": repetition.p4_shares,
     "p4_ablation": repetition.p4_ablation,
+    "p5_found": pairs.p5_found,
+    "p5_rates": pairs.p5_rates,
+    "p5_limits": pairs.p5_limits,
     "p6_found": overlap.p6_found,
     "p6_report": overlap.p6_report,
     "p7_found": splits.p7_found,
