@@ -51,6 +51,7 @@ ENDS_LIKE_THAT = 0.08
 NEEDS_COMMA = 0.97
 
 _END = re.compile(f"[{re.escape(ENDS)}]+[{re.escape(CLOSERS)}]*(?=\\s|$)|(?<=[。！？।॥۔])[{re.escape(CLOSERS)}]*|\\n+")
+_FACE = re.compile(r"(?:^|\s)[:;=8][-']?[)(DPp*|/\]]$|<3$")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _THAI = re.compile(r"(?<=[ก-๛])\s+(?=[ก-๛])")
 
@@ -66,6 +67,8 @@ def state(text: str) -> str:
         t = t[:-1]
     if not any(c.isalnum() for c in t):
         return "blank"
+    if _FACE.search(t):
+        return "ended"
     core = t.rstrip(CLOSERS)
     last = core[-1:] if core else ""
     if last and last in ENDS:
