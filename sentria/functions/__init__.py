@@ -1 +1 @@
-"""functions of the core engine."""
+"""Column functions: text, prompts and display."""
