@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,46 @@ def tidy(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     out = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     return F.when(out != "", out)
+
+
+def within(a: list, b: list, most: int) -> bool:
+    """Whether two sequences are at most ``most`` changes (put in, left out, replaced) apart. What they
+    share at both ends is left aside; the rest goes through Myers' bit-parallel columns, so long
+    ones cost length times length / 64."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return False
+    s = 0
+    while s < n and s < m and a[s] == b[s]:
+        s += 1
+    while n > s and m > s and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    n, m = n - s, m - s
+    if not n or not m:
+        return max(n, m) <= most
+    a, b = a[s : s + n], b[s : s + m]
+    if max(n, m) > 4 * most + 8 and sum((Counter(a) & Counter(b)).values()) < max(n, m) - most:
+        return False  # too few words in common, in any order
+    peq: dict = {}
+    for i, x in enumerate(a):
+        peq[x] = peq.get(x, 0) | (1 << i)
+    full, high = (1 << n) - 1, 1 << (n - 1)
+    pv, mv, score, left = full, 0, n, m
+    for x in b:
+        left -= 1
+        eq = peq.get(x, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        if ph & high:
+            score += 1
+        elif mh & high:
+            score -= 1
+        if score - left > most:
+            return False
+        ph = ((ph << 1) | 1) & full
+        mh = (mh << 1) & full
+        pv = (mh | ~(xv | ph)) & full
+        mv = ph & xv
+    return score <= most

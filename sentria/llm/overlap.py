@@ -10,8 +10,8 @@ size that counts the shingles of all units; any order gives the same result.
 Copies are one class (a digest of the words), so a class is compared once, however many rows it
 has. Evaluation classes are indexed; train classes probe, after a bitmap of fixed size has dropped
 the shingles that no evaluation class keeps. Pairs pass the filters of length, position and word
-signature (a change alters at most two bits) before the texts are looked up, and an exact banded
-distance verifies them. Classes are expanded to pairs of units only at the end, since the result
+signature (a change alters at most two bits) before the texts are looked up, and an exact
+bit-parallel distance verifies them. Classes are expanded to pairs of units only at the end, since the result
 asks for all of them. Texts are shuffled once.
 
 Units are those of sentence_dataset. Null texts, units of fewer than ``LEAST`` words and units
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.llm.common import table, tidy
+from sentria.llm.common import table, tidy, within
 from sentria.sources import written
 
 LEAST = 12
@@ -146,41 +146,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 65536], pa.int32()), pa.array(cells[at[s : s + 65536]], pa.int64())], ["cell", "n"])
 
 
-def close(a: list[str], b: list[str], most: int) -> bool:
-    """Whether two lists of words are at most ``most`` changes apart; only the band is computed."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return False
-    s = 0
-    while s < n and s < m and a[s] == b[s]:
-        s += 1
-    while n > s and m > s and a[n - 1] == b[m - 1]:
-        n, m = n - 1, m - 1
-    a, b = a[s:n], b[s:m]
-    n, m = len(a), len(b)
-    if not n or not m:
-        return max(n, m) <= most
-    far = most + 1
-    row = [j if j <= most else far for j in range(m + 1)]
-    for i in range(1, n + 1):
-        lo, hi = max(1, i - most), min(m, i + most)
-        new = [far] * (m + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (a[i - 1] != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        row = new
-        if min(row[max(0, lo - 1) : hi + 1]) > most:
-            return False
-    return row[m] <= most
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             x, y = x.split(" "), y.split(" ")
-            ok.append(close(x, y, max(len(x), len(y)) // 10))
+            ok.append(within(x, y, max(len(x), len(y)) // 10))
         yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
 

@@ -2,7 +2,7 @@
 
 An answer is compared with the message that asked for it: with the whole message, and with its last
 part (the question, or the paragraph to rework). Each defective pair has one defect, the first of:
-``empty``, ``refusal``, ``copy`` (at most one word in seven changed, by an exact banded distance),
+``empty``, ``refusal``, ``copy`` (at most one word in seven changed, by an exact bit-parallel distance),
 ``language`` (character n-gram naive Bayes: most words of the answer stand in sentences whose
 posterior is another language than the question's) and ``truncated`` (problem 5's endings, by the
 likelihood of how texts end). Cases of problem 1 are left out.
@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm import residue, truncation
-from sentria.llm.common import WORD, table
-from sentria.llm.overlap import close
+from sentria.llm.common import WORD, table, within
 
 PER_LANGUAGE = 20_000
 N = 3
@@ -129,7 +128,7 @@ def is_copy(answer: str, message: str) -> bool:
     for part in {message, question(message)}:
         b = norm(part)
         for x in options:
-            if x and b and close(x, b, max(len(x), len(b)) // 7):
+            if x and b and within(x, b, max(len(x), len(b)) // 7):
                 return True
     return False
 

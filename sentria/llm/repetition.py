@@ -19,11 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentria.llm.common import MARKS, table
+from sentria.sources import written
 
 RUN = 6
+#: documents of more parts are measured without gathering them
+MOST_PARTS = 20_000
 #: a run of letters; in scripts without spaces, a phrase
 LETTER_WORD = re.compile(f"(?:[^\\W\\d_]|[{MARKS}])+")
 #: name, share from which it fails
@@ -106,12 +110,30 @@ def measure(parts: list[str], chunks: _Chunks) -> tuple[int, list[float]]:
     return n, [_run_share(ids, RUN), again / n, top * 3 / n if top > 1 else 0.0, _run_share(ids, 2 * RUN)]
 
 
-def ledger(parts: DataFrame, *key: str, order: str = "ord", text: str = "text") -> DataFrame:
+def ledger(parts: DataFrame, *key: str, order: str = "ord", text: str = "text", most_parts: int = MOST_PARTS) -> DataFrame:
     """(key..., n_words, one column for each rule, bits) of each document.
 
-    One shuffle brings a document's parts together, repeated rows already dropped map-side."""
+    One shuffle brings a document's parts together, repeated rows already dropped map-side. Documents
+    of more than ``most_parts`` parts are never gathered: windows that spill measure them."""
     types = dict(parts.dtypes)
-    docs = parts.where(F.col(text).isNotNull()).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(order, text))).alias("parts"))
+    parts = parts.where(F.col(text).isNotNull())
+    sizes = parts.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most_parts)
+    huge = [tuple(r) for r in sizes.select(*key).take(1)]
+    names = [n for n, _ in RULES]
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), "n_words long", *(f"{n} double" for n in names), "bits long"])
+    if huge:
+        sizes = written(sizes.select(*key), "huge")
+        rest = parts.join(sizes, list(key), "left_anti")
+        return _gathered(rest, key, order, text, schema).unionByName(_windowed(parts.join(sizes, list(key), "left_semi"), key, order, text))
+    return _gathered(parts, key, order, text, schema)
+
+
+def _bits(shares: list) -> int:
+    return sum(1 << k for k, (v, (_, least)) in enumerate(zip(shares, RULES)) if v >= least - 1e-12)
+
+
+def _gathered(parts: DataFrame, key: tuple[str, ...], order: str, text: str, schema: str) -> DataFrame:
+    docs = parts.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(order, text))).alias("parts"))
     docs = docs.select(*key, F.col(f"parts.{text}").alias("parts"))
     names = [n for n, _ in RULES]
 
@@ -122,15 +144,49 @@ def ledger(parts: DataFrame, *key: str, order: str = "ord", text: str = "text")
             for row in b.column(len(key)).to_pylist():
                 n, found = measure(row, chunks)
                 words.append(n)
-                bits.append(sum(1 << k for k, (v, (_, least)) in enumerate(zip(found, RULES)) if v >= least - 1e-12))
+                bits.append(_bits(found))
                 for col, v in zip(shares, found):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array(words, pa.int64()), *(pa.array(s, pa.float64()) for s in shares), pa.array(bits, pa.int64())], [*key, "n_words", *names, "bits"])
 
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), "n_words long", *(f"{n} double" for n in names), "bits long"])
     return docs.mapInArrow(run, schema)
 
 
+def _windowed(parts: DataFrame, key: tuple[str, ...], order: str, text: str) -> DataFrame:
+    """The same measurements for documents of any number of parts: words in rows, runs by lead, first
+    places by an aggregate that combines map-side. Nothing of a document is held at once."""
+    one = parts.select(*key, order, text).distinct()
+    pattern = f"(?:[\\p{{L}}]|[{MARKS}])+"
+    rows = one.select(*key, order, F.xxhash64(text).alias("part"), F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("i", "w"))
+    place = W.partitionBy(*key).orderBy(order, "part", "i")
+    rows = rows.withColumn("pos", F.row_number().over(place))
+    own = W.partitionBy(*key).orderBy("pos")
+
+    def run_share(n: int) -> DataFrame:
+        gram = F.xxhash64(*[F.lead("w", j).over(own) if j else F.col("w") for j in range(n)])
+        grams = rows.withColumn("gram", F.when(F.lead("w", n - 1).over(own).isNotNull(), gram)).where("gram is not null").select(*key, "pos", "gram")
+        firsts = grams.groupBy(*key, "gram").agg(F.min("pos").alias("first"))
+        again = grams.join(firsts, [*key, "gram"]).where("pos > first")
+        step = F.least(F.coalesce(F.lead("pos").over(own) - F.col("pos"), F.lit(n)), F.lit(n))
+        return again.withColumn("step", step).groupBy(*key).agg(F.sum("step").alias("covered"))
+
+    words = rows.groupBy(*key).agg(F.count("*").alias("n_words"))
+    three = F.xxhash64("w", F.lead("w", 1).over(own), F.lead("w", 2).over(own))
+    top = rows.withColumn("gram", F.when(F.lead("w", 2).over(own).isNotNull(), three)).where("gram is not null").groupBy(*key, "gram").count().groupBy(*key).agg(F.max("count").alias("top"))
+    sized = rows.groupBy(*key, order, "part").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
+    sized = sized.join(rows.groupBy(*key, order, "part").agg(F.sum(F.xxhash64("w", "i").cast("decimal(38,0)")).alias("content")), [*key, order, "part"])
+    repeated = sized.groupBy(*key, "content").agg(F.sum("n").alias("all_n"), F.max("n").alias("one_n")).groupBy(*key).agg(F.sum(F.col("all_n") - F.col("one_n")).alias("again"))
+    on = list(key)
+    joined = words.join(run_share(RUN).withColumnRenamed("covered", "c6"), on, "left").join(run_share(2 * RUN).withColumnRenamed("covered", "c12"), on, "left").join(top, on, "left").join(repeated, on, "left")
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double") / F.col("n_words")
+    shares = [share("c6"), share("again"), F.when(F.col("top") > 1, share("top") * 3).otherwise(F.lit(0.0)), share("c12")]
+    out = joined.select(*key, "n_words", *[s.alias(n) for s, (n, _) in zip(shares, RULES)])
+    bits = F.lit(0).cast("long")
+    for k, (n, least) in enumerate(RULES):
+        bits = bits + F.when(F.col(n) >= least - 1e-12, 1 << k).otherwise(0)
+    return out.withColumn("bits", bits)
+
+
 def apply_policy(book: DataFrame, policy: str) -> DataFrame:
     """The ledger's documents that a policy rejects."""
     return book.where(F.col("bits").bitwiseAND(F.lit(mask(policy))) != 0)

@@ -48,7 +48,7 @@ LATIN = (
 #: What templates ask for.
 SLOT_NAMES = r"(?:first |last |full |school |family |favou?rite |job |your |my )?[ _]?(?:name|city|town|hometown|home town|street|address|state|country|school|college|university|teacher|mentor|coach|friend|sibling|member|parent|club|team|hobby|sport|book|award|event|date|day|month|year|time|place|subject|topic|title|company|job|number|phone|email|age)"
 #: What goes before a slot that is only told of.
-TOLD = r"(?iu)(?:such as|for example|e\.g\.|like|mark|marks|symbol|placeholder|typed|wrote|called|named|says?|said|reads?)[\s:,\"'“‘«]{1,3}(?:\{\{[^{}\n]*\}\}|\$?\{[^{}\n]*\}|\[[^\[\]\n]*\]|<[^<>\n]*>|%\(\w+\)s|%s|__\w+__|@@\w+@@|#\w+#)"
+TOLD = r"(?iu)(?:such as|for example|e\.g\.|marks?|symbols?|placeholders?|typed)[\s:,\"'“‘«]{1,3}(?:\{\{[^{}\n]*\}\}|\$?\{[^{}\n]*\}|\[[^\[\]\n]*\]|<[^<>\n]*>|%\(\w+\)s|%s|__\w+__|@@\w+@@|#\w+#)"
 SLOTS = (
     r"\{\{[\s\w.]{1,60}\}\}", r"\$\{[\s\w.]{1,60}\}", r"(?<![\w$\{])\{[\p{L}][\w ]{0,60}\}(?!\})", r"\{%[^%\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"\[\[[\s\w]{1,60}\]\]", r"\[XX[^\]\n]{1,60}XX\]", r"@@\w{1,60}@@", r"(?<![\w#])#\w{1,60}#(?!\w)", r"(?<!\w)__[\p{L}]\w{0,60}?__(?!\w)", r"%\(\w{1,60}\)[sd]", r"(?<![\w%])%s(?!\w)",
     r"_{3,}\s?\([^)\n]{1,40}\)", r"<(?:insert|your|enter|add)\b[^<>\n]{0,60}>", r"\((?:insert|enter|add) [^)\n]{1,40}\)", r"\[(?:insert|enter|add|your|aquí|hier|ici|nom|nombre|name)\b[^\]\n]{0,60}\]", r"\[" + SLOT_NAMES + r"\]", r"(?<!\w)TODO:\s?\w+", r"\b(?:is|was|at|in|about|told|joining|near|from|with|for|to) (?:undefined|null|nan|n/a|\[object object\])(?=[\s.,;!?])",

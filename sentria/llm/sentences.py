@@ -223,7 +223,7 @@ def _ends(text: str, i: int, me: int, e: int, begin: int, mark: str, own: dict[s
             then = text[k + 1 : k + 2]
             return bool(then) and not then.isspace() and not _lower(then)
         return nxt != "&"
-    before = text[begin:i]
+    before = text[max(begin, i - 300) : i]
     word = before.rsplit(None, 1)[-1] if before.strip() else ""
     word = word.lstrip("\"“«([„'¿¡「『‘—–")
     low = word.lower()

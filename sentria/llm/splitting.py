@@ -139,6 +139,8 @@ def pieces(enc: Encoder, text: str | None, limit: int, overlap: int) -> list[tup
             k += 1
         start = bisect_right(cuts.before, cuts.before[end] - overlap) - 1
         start = min(max(start, 0), end)
+        while overlap and start > 0 and enc.count(text[cuts.at[start] : cuts.at[end]]) < overlap:
+            start -= 1  # white space at a piece's end may need fewer tokens than before a word
         if overlap == 0:
             start = end
     return out

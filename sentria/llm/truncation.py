@@ -88,7 +88,7 @@ def tail(text: str) -> tuple[str, list[str], bool]:
     start = 0
     for m in _END.finditer(t):
         if m.end() < len(t) and m.end() > start:
-            word = t[start : m.start()].split()[-1:] or [""]
+            word = t[max(start, m.start() - 80) : m.start()].split()[-1:] or [""]
             if m.group().strip(CLOSERS) == "." and word[0].lower().lstrip("(\"“'«[") in OPEN_ABBREVIATIONS:
                 continue
             start = m.end()
@@ -109,7 +109,7 @@ def events(text: str) -> Counter:
     parts, start = [], 0
     for m in _END.finditer(masked):
         if m.end() > start:
-            word = masked[start : m.start()].split()[-1:] or [""]
+            word = masked[max(start, m.start() - 80) : m.start()].split()[-1:] or [""]
             if m.group().strip(CLOSERS) == "." and word[0].lstrip("(\"“'«[") in OPEN_ABBREVIATIONS:
                 continue
             parts.append((masked[start : m.start()], m.group().strip() != "" or True))
