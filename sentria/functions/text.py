@@ -42,7 +42,7 @@ def any_of(words: list[str]) -> str:
 
 #: A sentence end: marks, what closes after them, white space, then what may begin a sentence. The word
 #: before it must be no abbreviation and have more than one character.
-BOUNDARY = r"(?<!(?:^| )(?:(?i:" + any_of(ABBREVIATIONS) + r")|[^ ])\.{0,3} ?)(?<![.!?])([.!?]+['\")\]]*)((?U)\s+)(?=[A-Z0-9\"'(])"
+BOUNDARY = r"(?U)(?<!(?:^| )(?:(?i:" + any_of(ABBREVIATIONS) + r")\.{0,8}|[^ .]\.{1,8}|[^\s.])\s{0,8})(?<![.!?])([.!?]+['\")\]]*)(\s+)(?=[A-Z0-9\"'(])"
 CONTRACTION = r"(?iU)\b\w+'(?:" + "|".join(CONTRACTIONS) + r")\b"
 TELL = r"(?iU)\b(?:" + any_of(TELL_WORDS) + r")\b"
 WORD = r"[A-Za-z']+"
@@ -172,7 +172,7 @@ def preview(c: Column, most: int = 160) -> Column:
 
 def percent(c: Column) -> Column:
     """One decimal and a percent sign; n/a for null."""
-    return F.coalesce(F.format_string("%.1f%%", c * 100.0), F.lit("n/a"))
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", c * 100.0)).otherwise(F.lit("n/a"))
 
 
 def prob_color(p: Column) -> Column:

@@ -189,7 +189,7 @@ ORACLE_SQL: dict[str, str] = {
     "job_cross": "WITH each AS (SELECT user_message, model, style, md5(user_message || '|' || model || '|' || style) AS h FROM (SELECT DISTINCT user_message FROM generation_jobs WHERE user_message IS NOT NULL) CROSS JOIN (VALUES ('model_a'), ('model_b')) m(model) CROSS JOIN (VALUES ('direct'), ('coached')) s(style)) SELECT user_message, model, style, CAST((row_number() OVER (ORDER BY h) - 1) // 8 AS BIGINT) AS batch FROM each",
     "round_robin": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) % 2 = 0 THEN 'model_a' ELSE 'model_b' END AS name FROM (SELECT DISTINCT doc_id FROM self_ai_polished_chunks)",
     "subset_per_group": "WITH c AS (SELECT DISTINCT doc_id, chunk_idx FROM self_ai_polished_chunks), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42' || doc_id || CAST(chunk_idx AS VARCHAR)), chunk_idx) AS rk, CAST(('0x' || substr(md5('42' || doc_id), 1, 6)) AS BIGINT) / 16777216.0 AS u FROM c) SELECT doc_id, chunk_idx FROM n WHERE rk <= greatest(1, CAST(floor(n * (0.4::DOUBLE + u * (0.7::DOUBLE - 0.4::DOUBLE))) AS INTEGER))",
-    "polish_merge": f"WITH {CHUNKS}, done AS (SELECT doc_id, chunk_idx, upper(chunk_text) AS polished FROM chunks WHERE label = 1 AND length(chunk_text) >= 40), j AS (SELECT c.doc_id, c.chunk_idx, coalesce(polished, chunk_text) AS chunk_text, CAST(polished IS NOT NULL AS INTEGER) AS label, CASE WHEN polished IS NOT NULL THEN 'model_a' ELSE 'human' END AS gen_model, max(polished IS NOT NULL) OVER (PARTITION BY c.doc_id) AS any_ok FROM chunks c LEFT JOIN done d ON c.doc_id = d.doc_id AND c.chunk_idx = d.chunk_idx) SELECT doc_id, chunk_idx, chunk_text, label, gen_model FROM j WHERE any_ok",
+    "polish_merge": f"WITH {CHUNKS}, done AS (SELECT doc_id, chunk_idx, 'Again: ' || chunk_text AS polished FROM chunks WHERE label = 1 AND length(chunk_text) >= 40), j AS (SELECT c.doc_id, c.chunk_idx, coalesce(polished, chunk_text) AS chunk_text, CAST(polished IS NOT NULL AS INTEGER) AS label, CASE WHEN polished IS NOT NULL THEN 'model_a' ELSE 'human' END AS gen_model, max(polished IS NOT NULL) OVER (PARTITION BY c.doc_id) AS any_ok FROM chunks c LEFT JOIN done d ON c.doc_id = d.doc_id AND c.chunk_idx = d.chunk_idx) SELECT doc_id, chunk_idx, chunk_text, label, gen_model FROM j WHERE any_ok",
     "clean_text": f"SELECT doc_id, chunk_idx, {_CLEAN} AS cleaned FROM (SELECT DISTINCT doc_id, group_id, chunk_idx, chunk_text, label, bucket, gen_model FROM self_ai_fresh_chunks) WHERE chunk_text IS NOT NULL",
     "paragraph_chunks": f"""WITH docs AS (SELECT doc_id, text AS doc_text FROM documents WHERE text IS NOT NULL), {sents()},
     lists AS (SELECT doc_id, list(sentence_text ORDER BY sentence_order) AS s FROM sents GROUP BY doc_id),

@@ -189,7 +189,7 @@ def subset_per_group(spark, base):
 
 def polish_merge(spark, base):
     plan = chunks(spark, base).select("doc_id", "chunk_idx", "chunk_text", F.lit("model_a").alias("model"))
-    done = chunks(spark, base).where("label = 1 and length(chunk_text) >= 40").select("doc_id", "chunk_idx", F.upper("chunk_text").alias("polished"))
+    done = chunks(spark, base).where("label = 1 and length(chunk_text) >= 40").select("doc_id", "chunk_idx", F.concat(F.lit("Again: "), "chunk_text").alias("polished"))
     return corpus.polish_merge(plan, done)
 
 
