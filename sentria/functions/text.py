@@ -42,7 +42,7 @@ def any_of(words: list[str]) -> str:
 
 #: A sentence end: marks, what closes after them, white space, then what may begin a sentence. The word
 #: before it must be no abbreviation and have more than one character.
-BOUNDARY = r"(?U)(?<!(?:^| )(?:(?i:" + any_of(ABBREVIATIONS) + r")\.{0,8}|[^ .]\.{1,8}|[^\s.])\s{0,8})(?<![.!?])([.!?]+['\")\]]*)(\s+)(?=[A-Z0-9\"'(])"
+BOUNDARY = r"(?U)(?=[.!?])(?<![.!?])(?<!(?:^| )(?:(?i:" + any_of(ABBREVIATIONS) + r")\.{0,8}|[^ .]\.{1,8}|[^\s.])\s{0,8})([.!?]+['\")\]]*)(\s+)(?=[A-Z0-9\"'(])"
 CONTRACTION = r"(?iU)\b\w+'(?:" + "|".join(CONTRACTIONS) + r")\b"
 TELL = r"(?iU)\b(?:" + any_of(TELL_WORDS) + r")\b"
 WORD = r"[A-Za-z']+"
@@ -156,12 +156,9 @@ def clean_essay(c: Column) -> Column:
     return strip(F.regexp_replace(t, r"^#+\s*[^\n]*\n", ""))
 
 
-def paragraph_chunks(c: Column, per_chunk: int = 3) -> Column:
-    """Paragraphs, if there are at least two; else sentences in groups; else the text itself."""
-    paragraphs = F.filter(F.transform(F.split(c, r"\n\s*\n"), strip), lambda p: p != "")
-    s = split_sentences(normalize_whitespace(c))
-    groups = F.transform(F.sequence(F.lit(1), F.size(s), F.lit(per_chunk)), lambda i: F.array_join(F.slice(s, i, per_chunk), " "))
-    return F.when(F.size(paragraphs) >= 2, paragraphs).when(F.size(s) > 0, groups).otherwise(F.array(c))
+def paragraphs(c: Column) -> Column:
+    """What stands between blank lines."""
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), strip), lambda p: p != "")
 
 
 def preview(c: Column, most: int = 160) -> Column:

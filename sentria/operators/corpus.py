@@ -74,6 +74,16 @@ def exclude(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return df.join(others.select(key).distinct(), key, "left_anti")
 
 
+def paragraph_chunks(df: DataFrame, key: str, text: str, per_chunk: int = 3) -> DataFrame:
+    """(key, chunk_idx, chunk_text): paragraphs, if there are at least two; else sentences in groups;
+    else the text itself. Both arrays are made once, in columns of their own."""
+    both = df.select(key, text, T.paragraphs(F.col(text)).alias("_p"))
+    both = both.withColumn("_s", F.when(F.size("_p") < 2, T.split_sentences(T.normalize_whitespace(F.col(text)))))
+    groups = F.transform(F.sequence(F.lit(1), F.size("_s"), F.lit(per_chunk)), lambda i: F.array_join(F.slice("_s", i, per_chunk), " "))
+    cut = F.when(F.size("_p") >= 2, F.col("_p")).when(F.size("_s") > 0, groups).otherwise(F.array(text))
+    return both.select(key, F.posexplode(cut).alias("chunk_idx", "chunk_text"))
+
+
 def chunk_ranges(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks with their normalized text and half-open range in the joined document; an empty chunk
     takes no place."""

@@ -198,7 +198,7 @@ def clean_text(spark, base):
 
 
 def paragraph_chunks(spark, base):
-    return texts(spark, base).select("doc_id", F.posexplode(T.paragraph_chunks(F.col("text"))).alias("chunk_idx", "chunk_text"))
+    return corpus.paragraph_chunks(texts(spark, base), "doc_id", "text")
 
 
 def _scores(spark, base):

@@ -140,7 +140,8 @@ def test_corpus(spark):
 
 def test_cleaning(spark):
     assert one(spark, ['"Title: X\nHello"', "# Head\nText", "Essay : a\n# b\nc", " plain "], T.clean_essay) == ["Hello", "Text", "c", "plain"]
-    assert one(spark, ["a\n\nb\n \nc", "One. Two. Three. Four.", "word"], T.paragraph_chunks) == [["a", "b", "c"], ["One. Two. Three.", "Four."], ["word"]]
+    cut = corpus.paragraph_chunks(spark.createDataFrame([(1, "a\n\nb\n \nc"), (2, "One. Two. Three. Four."), (3, "word")], "i int, t string"), "i", "t")
+    assert sorted(tuple(r) for r in cut.collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "One. Two. Three."), (2, 1, "Four."), (3, 0, "word")]
     assert one(spark, ["x" * 161, " a\nb "], T.preview) == ["x" * 160 + "...", "a b"]
     assert one(spark, ["<a href='x'>&\"</a>"], T.escape_html) == ["&lt;a href=&#39;x&#39;&gt;&amp;&quot;&lt;/a&gt;"]
 
