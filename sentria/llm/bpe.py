@@ -110,9 +110,7 @@ class Merges:
         self.bytes_of = [b""] * n
         for k, i in self.id_of.items():
             self.bytes_of[i] = k
-            if len(k) > 1 and i not in rank:
-                del_me = k  # unreachable by merges
-                self.bytes_of[i] = del_me
+        # tokens that no merge makes are never given out
         self.id_of = {k: i for k, i in self.id_of.items() if len(k) == 1 or i in rank}
         self.max_token_len = max(map(len, self.id_of))
         lens: dict[bytes, set[int]] = {}
@@ -206,7 +204,6 @@ class PieceStream:
         self.at = 0  # bytes fed
         self.done = 0  # bytes whose tokens are emitted
         self.last: dict[int, int] = {}  # end position -> last token of that prefix
-        self.first = True
 
     def feed(self, data: bytes) -> list[int]:
         m, out = self.m, []

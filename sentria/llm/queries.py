@@ -36,4 +36,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_pieces": splitting.p10_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = """SELECT DISTINCT 'fresh' AS src, doc_id, chunk_idx AS ord, chunk_text AS t FROM self_ai_fresh_chunks WHERE doc_id IS NOT NULL AND chunk_text IS NOT NULL
+    UNION ALL SELECT DISTINCT 'units', doc_id, sentence_order, sentence_text FROM sentence_dataset WHERE doc_id IS NOT NULL AND sentence_text IS NOT NULL"""
+_GRAM = " || ' ' || ".join(f"lead(w, {k}) OVER o" if k else "w" for k in range(repetition.RUN))
+_TIDY = "nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
+
+ORACLE_SQL: dict[str, str] = {
+    # words of a document in order; runs that stood before; the words that such runs cover
+    "p4_found": f"""WITH parts AS ({_PARTS}),
+    w AS (SELECT src, doc_id, ord, t, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT *, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{M}}]+') AS x FROM parts)),
+    p AS (SELECT src, doc_id, w, row_number() OVER (PARTITION BY src, doc_id ORDER BY ord, t, i) AS pos FROM w),
+    g AS (SELECT src, doc_id, pos, CASE WHEN lead(w, {repetition.RUN - 1}) OVER o IS NOT NULL THEN {_GRAM} END AS gram FROM p WINDOW o AS (PARTITION BY src, doc_id ORDER BY pos)),
+    f AS (SELECT *, min(pos) OVER (PARTITION BY src, doc_id, gram) AS first FROM g WHERE gram IS NOT NULL),
+    r AS (SELECT src, doc_id, pos, lead(pos) OVER (PARTITION BY src, doc_id ORDER BY pos) AS nxt FROM f WHERE pos > first),
+    c AS (SELECT src, doc_id, sum(least(coalesce(nxt - pos, {repetition.RUN}), {repetition.RUN})) AS covered FROM r GROUP BY src, doc_id),
+    n AS (SELECT src, doc_id, count(*) AS n FROM p GROUP BY src, doc_id)
+    SELECT DISTINCT doc_id FROM c JOIN n USING (src, doc_id) WHERE covered * 3 >= n""",
+    # groups reached through common documents, and the splits of all their documents' rows
+    "p7_found": f"""WITH RECURSIVE r AS (SELECT DISTINCT doc_id AS d, {_TIDY.format(c='group_id')} AS g, {_TIDY.format(c='split')} AS s FROM sentence_dataset),
+    links AS (SELECT DISTINCT a.g AS x, b.g AS y FROM r a JOIN r b ON a.d = b.d WHERE a.g IS NOT NULL AND b.g IS NOT NULL UNION SELECT g, g FROM r WHERE g IS NOT NULL),
+    reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    splits AS (SELECT DISTINCT a.g, b.s FROM r a JOIN r b ON a.d = b.d WHERE a.g IS NOT NULL AND b.s IS NOT NULL UNION SELECT g, s FROM r WHERE d IS NULL AND g IS NOT NULL AND s IS NOT NULL)
+    SELECT x AS group_id FROM reach JOIN splits ON reach.y = splits.g GROUP BY x HAVING count(DISTINCT s) > 1""",
+}

@@ -54,6 +54,7 @@ SLOTS = (
     r"_{3,}\s?\([^)\n]{1,40}\)", r"<(?:insert|your|enter|add)\b[^<>\n]{0,60}>", r"\((?:insert|enter|add) [^)\n]{1,40}\)", r"\[(?:insert|enter|add|your|aquí|hier|ici|nom|nombre|name)\b[^\]\n]{0,60}\]", r"\[" + SLOT_NAMES + r"\]", r"(?<!\w)TODO:\s?\w+", r"\b(?:is|was|at|in|about|told|joining|near|from|with|for|to) (?:undefined|null|nan|n/a|\[object object\])(?=[\s.,;!?])",
 )
 _TAG = r"</?[a-zA-Z!][^<>\n]{0,200}>"
+_QUOTED = r"(?<=[\p{Ll},:] )(?:\"[^\"\n]{1,300}\"|[“«„][^”»“\n]{1,300}[”»“])"
 _CUT = r"\n+|(?<=[.!?…。！？])\s+|(?<=[.!?])(?=[\p{Lu}<\{\"“(])"
 
 
@@ -67,8 +68,8 @@ def has_slot(text: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """Lines and sentences of a text, mark-up aside."""
-    parts = F.split(F.regexp_replace(text, _TAG, "\n"), _CUT)
+    """Lines and sentences of a text, mark-up aside, and what a sentence quotes."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(text, _TAG, "\n"), _QUOTED, " "), _CUT)
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$|\s+(?=\s)", "")), lambda s: s != "")
 
 

@@ -192,8 +192,7 @@ def _after_region(text: str, i: int, e: int, begin: int, last: str, mark: str, i
         return last in "." and not inner.endswith("..")
     if whole and last not in ".。।۔｡" and not any(c.isupper() or c.islower() for c in inner):
         return False  # scripts without case: a question or call at the start is followed by who speaks
-    cased = nxt.isupper() or nxt.isdigit() or not nxt.isalpha()
-    if cased:
+    if nxt.isupper() or nxt.isdigit() or not nxt.isalpha():
         return not (last in "!?" and whole and _capitals(text, k) and _SPEECH.search(text[k : k + 60].lower()))
     return last in ".。।۔｡" or not whole
 
@@ -257,12 +256,10 @@ def _ends(text: str, i: int, me: int, e: int, begin: int, mark: str, own: dict[s
         if single and len(word) == 1 and word.isalpha():
             if word.isupper() or word.lower() in TITLES or _caseless(word) or re.match(r"[^\W\d_]\.", text[k : k + 2]):
                 return False
-            return _single(nxt)
+            return not _lower(nxt)
         return not _lower(nxt) and words >= 4 and joined not in TITLES
     if low in TITLES:
-        if low in ("no", "d", "s", "m", "st", "ej") and not nxt.isdigit() and not (low == "st" and word[0].isupper() and nxt.isupper()) and len(low) == 2 and low == "no":
-            return own.get("no") is not True or word.islower()
-        return False
+        return low == "no" and not nxt.isdigit() and (word.islower() or own.get("no") is not True)
     if low in EITHER:
         return not _lower(nxt) and words >= 4 and not _goes_on(text, k)
     said = own.get(low)
@@ -288,10 +285,6 @@ def _caseless(w: str) -> bool:
     return w.upper() == w.lower()
 
 
-def _single(nxt: str) -> bool:
-    return not _lower(nxt)
-
-
 def corpus_abbreviations(docs: DataFrame, text: str = "doc_text") -> dict[str, bool]:
     """Words that are abbreviations by the whole corpus' unambiguous occurrences. A word is kept only
     if its share of all such occurrences is at least LEAST_SHARE, so there are at most 1 / LEAST_SHARE."""

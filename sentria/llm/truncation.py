@@ -112,7 +112,7 @@ def events(text: str) -> Counter:
             word = masked[max(start, m.start() - 80) : m.start()].split()[-1:] or [""]
             if m.group().strip(CLOSERS) == "." and word[0].lstrip("(\"“'«[") in OPEN_ABBREVIATIONS:
                 continue
-            parts.append((masked[start : m.start()], m.group().strip() != "" or True))
+            parts.append((masked[start : m.start()], True))
             start = m.end()
     if start < len(masked):
         parts.append((masked[start:], not open_end))
@@ -219,7 +219,6 @@ def cut(rows: DataFrame, key: tuple[str, ...], group: tuple[str, ...], text: str
     asks = open_.select(*key, *group, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in (("u", "last"), ("b", "pair"), ("f", "frag"), ("o", "opener"))])).alias("q")).select(*key, *group, "q.kind", "q.key")
     told = asks.join(stats, ["kind", "key"], "left").groupBy(*key, *group).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col(v))), F.lit(0)).alias(f"{k}_{v}") for k in "ubfo" for v in "ne"])
     keys = [*key, *group]
-    on = lambda a, b: [a[c].eqNullSafe(b[c]) for c in keys]
     o, s = open_.alias("o"), told.alias("s")
     full = o.join(s, [F.col(f"o.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys]).select("o.*", *[f"s.{k}_{v}" for k in "ubfo" for v in "ne"]).alias("x")
     full = full.join(at.alias("l"), [F.col(f"x.{c}").eqNullSafe(F.col(f"l.{c}")) for c in keys], "left").select("x.*", F.coalesce("l.at_limit", F.lit(False)).alias("at_limit"))

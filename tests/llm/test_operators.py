@@ -32,7 +32,7 @@ def test_within():
 
 SLOTS = ["My name is {{name}} and I grew up.", "At ${city} I learned.", "I met {teacher} there.", "In {% book %} we read.", "At <%= student.name %> I stood.", "About [[college]] now.", "I saw [XX event XX] once.", "@@TEAM@@ won.", "#SCHOOL_NAME# is big.", "At __BOOK__ I read.", "%(hobby)s is fun.", "I want to study at %s because I can.", "In _____ (street) we walked.", "At <INSERT DATE HERE> we left.", "My name is (insert mentor) now.", "The person was [Your City], near us.", "Read [BOOK] first.", "Since joining TODO: city I run.", "At [aquí el nombre: teacher] I sat.", "The person who taught me pride was undefined, near the ferry."]
 MESSAGES = ["Please enable JavaScript to view this page.", "404 Not Found. The page a/1 does not exist.", "<h1>Internal Server Error</h1><p>Trace 1a was saved.</p>", "Loading...", "Veuillez activer JavaScript pour afficher ce contenu.", "Seite nicht gefunden. Der Link ist veraltet.", "Lorem ipsum dolor sit amet.", "Your text goes here.", 'An essay. {"error": {"code": 3, "message": "model overloaded"}}', "We won!\n\nTexto de relleno. Sustituir."]
-FINE = ["The sets {2, 3, 5} and [1, 68] were on the board.", 'He said "it were [sic] gentle" and <3 was all.', "I would give 100% for Rolf [my cousin].", "Rolf typed a mark such as {{ name }} into the letter.", "The screen said that the page was not found, so I left.", "My server once returned a 502 error in front of us.", "Room 404 was the wild stadium.", "Our draft still said lorem ipsum on page 65, and we laughed.", "I taught my aunt why the browser asks to enable JavaScript.", "(see Appendix B. for more)", ""]
+FINE = ['The page only said: "Oops! Something went wrong on our end. Please reload." We laughed.', "On the wall we read “Access denied. 404 Not Found. Loading...” and left.", "The sets {2, 3, 5} and [1, 68] were on the board.", 'He said "it were [sic] gentle" and <3 was all.', "I would give 100% for Rolf [my cousin].", "Rolf typed a mark such as {{ name }} into the letter.", "The screen said that the page was not found, so I left.", "My server once returned a 502 error in front of us.", "Room 404 was the wild stadium.", "Our draft still said lorem ipsum on page 65, and we laughed.", "I taught my aunt why the browser asks to enable JavaScript.", "(see Appendix B. for more)", ""]
 
 
 def test_residue(spark):
