@@ -23,17 +23,29 @@ def plain_normal(t):
     return re.sub(r"[ \t\n]+", " ", t.strip())
 
 
+def run(t, i, test):
+    while i < len(t) and test(t[i]):
+        i += 1
+    return i
+
+
 def plain_split(t):
-    """A restatement of the rule: what ends a sentence, unless the word before says otherwise."""
-    t, out, last = plain_normal(t), [], 0
-    for m in re.finditer(r"([.!?]+)(['\")\]]*)(\s+)(?=[A-Z0-9\"'(])", t):
-        words = t[max(0, m.start() - 15) : m.start()].strip().split(" ")
-        w = words[-1].lower().rstrip(".")
-        if w in T.ABBREVIATIONS or len(w) == 1:
+    """The rule once more, read character by character."""
+    t, out, begin, i = plain_normal(t), [], 0, 0
+    while i < len(t):
+        marks = run(t, i, lambda c: c in ".!?")
+        if marks == i:
+            i += 1
             continue
-        out.append(t[last : m.end(2)])
-        last = m.end()
-    return [s for s in [*out, t[last:]] if s.strip()]
+        end = run(t, marks, lambda c: c in "'\")]")
+        then = run(t, end, str.isspace)
+        opens = then < len(t) and then > end and (t[then] in "\"'(" or t[then].isascii() and (t[then].isupper() or t[then].isdigit()))
+        word = t[:i].strip().rpartition(" ")[2].lower().rstrip(".")
+        if opens and len(word) != 1 and word not in T.ABBREVIATIONS:
+            out.append(t[begin:end])
+            begin = then
+        i = marks
+    return [s for s in [*out, t[begin:]] if s.strip()]
 
 
 def adversarial(rng):
