@@ -48,47 +48,67 @@ _SENTENCE = re.compile(r"[.!?…。！？।؟]+[\"'”’»)\]」』]*\s*|\n+")
 #: Scripts that say the language.
 SCRIPTS = (("hi", "ऀ-ॿ"), ("ar", "؀-ۿ"), ("th", "ก-๛"), ("ja", "぀-ヿ"), ("zh", "一-鿿"), ("ko", "가-힣"), ("ru", "Ѐ-ӿ"), ("el", "Ͱ-Ͽ"), ("he", "א-ת"))
 _SCRIPT = [(name, re.compile(f"[{r}]")) for name, r in SCRIPTS]
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[a-zA-Z]")
 _LATIN = re.compile(r"[a-zA-ZÀ-ɏ]")
 
 
 class Languages:
-    """Naive Bayes over character n-grams, with additive smoothing."""
+    """Naive Bayes over the character n-grams of words, with additive smoothing. A word's weights are
+    made once and kept in a bounded memo, so a sentence is a sum of tuples."""
 
     def __init__(self, rows: list[tuple[str, str]]):
-        self.counts: dict[str, Counter] = {}
+        counts: dict[str, Counter] = {}
         for lang, text in rows:
-            self.counts.setdefault(lang, Counter()).update(self.grams(text))
-        space = len(set().union(*self.counts.values())) + 1 if self.counts else 1
-        self.weight = {lang: ({g: math.log((n + 0.2) / (sum(c.values()) + 0.2 * space)) for g, n in c.items()}, math.log(0.2 / (sum(c.values()) + 0.2 * space))) for lang, c in self.counts.items()}
-        self.scripts = {name for name, _ in _SCRIPT}
+            own = counts.setdefault(lang, Counter())
+            for w in _LETTERS.findall(text.lower()):
+                own.update(self.grams(w))
+        space = len(set().union(*counts.values())) + 1 if counts else 1
+        self.names = sorted(counts)
+        self.weight = []
+        for lang in self.names:
+            total = sum(counts[lang].values()) + 0.2 * space
+            self.weight.append(({g: math.log((n + 0.2) / total) for g, n in counts[lang].items()}, math.log(0.2 / total)))
+        self.memo: dict[str, tuple[float, ...]] = {}
 
     @staticmethod
-    def grams(text: str) -> list[str]:
-        t = " " + " ".join(w.lower() for w in re.findall(r"[^\W\d_]+", text)) + " "
+    def grams(word: str) -> list[str]:
+        t = f" {word} "
         return [t[i : i + N] for i in range(len(t) - N + 1)]
 
+    def word(self, w: str) -> tuple[float, ...]:
+        known = self.memo.get(w)
+        if known is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            grams = self.grams(w)
+            known = self.memo[w] = tuple(sum(p.get(g, rest) for g in grams) for p, rest in self.weight)
+        return known
+
     def of(self, text: str) -> str | None:
         """The language of a text with the greatest posterior; None without letters."""
-        by_script = {name: len(p.findall(text)) for name, p in _SCRIPT}
-        latin = len(_LATIN.findall(text))
-        name, n = max(by_script.items(), key=lambda x: x[1])
-        if name == "zh" and by_script["ja"]:
-            name = "ja"
-        if n * 2 > latin and n:  # these letters hold more than Latin ones do
-            return name
-        if not latin or not self.weight:
+        if text and max(text) >= "\u0250":  # letters beyond Latin, or signs
+            latin = len(_LATIN.findall(text))
+            by_script = {name: len(p.findall(text)) for name, p in _SCRIPT}
+            name, n = max(by_script.items(), key=lambda x: x[1])
+            if name == "zh" and by_script["ja"]:
+                name = "ja"
+            if n * 2 > latin and n:  # these letters hold more than Latin ones do
+                return name
+        words = _LETTERS.findall(text.lower())
+        if not words or not self.names:
             return None
-        grams = Counter(self.grams(text))
-        return max(self.weight, key=lambda k: sum(c * self.weight[k][0].get(g, self.weight[k][1]) for g, c in grams.items()))
+        sums = [sum(c) for c in zip(*map(self.word, words))]
+        return self.names[max(range(len(sums)), key=sums.__getitem__)]
 
     def shares(self, text: str) -> Counter:
-        """Weight of each language in a text: sentence by sentence, by letters. Names weigh little, as
-        a sentence is judged as a whole."""
+        """Weight of each language in a text, sentence by sentence, by letters; a letter of a script
+        without spaces weighs as much as three. Names in other letters don't count."""
         out: Counter = Counter()
         for part in _SENTENCE.split(text):
-            size = sum(c.isalpha() for c in part)
-            if size >= 2 and (lang := self.of(part)):
-                n = sum(1 for c in part if c.isalpha() and not (c.isascii() and lang in self.scripts))
+            if len(part) >= 2 and (lang := self.of(part)):
+                n = len(_ANY_LETTER.findall(part)) if lang in self.names else len(_ANY_LETTER.findall(part)) - len(_ASCII_LETTER.findall(part))
                 out[lang] += n * (3 if lang in ("zh", "ja") else 1)
         return out
 
