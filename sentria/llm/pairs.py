@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sentria.llm import residue, truncation
 from sentria.llm.common import WORD, table, within
+from sentria.sources import written
 
 PER_LANGUAGE = 20_000
 N = 3
@@ -181,10 +182,10 @@ def jobs(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "generation_jobs", "job_id", "doc_id", "chunk_idx", "user_message").where("user_message is not null").select("doc_id", "chunk_idx", "user_message").distinct()
 
 
-def compared(spark: SparkSession, base: str) -> DataFrame:
-    """(src, doc_id, chunk_idx, defect) of every pair whose defect shows beside its message."""
+def compared(spark: SparkSession, base: str, chunks: DataFrame) -> DataFrame:
+    """(src, doc_id, chunk_idx, defect) of every pair of chunks whose defect shows beside its message."""
     model = spark.sparkContext.broadcast(fitted(spark, base))
-    rows = truncation.all_chunks(spark, base).where("label = 1").join(jobs(spark, base), ["doc_id", "chunk_idx"]).select("src", "doc_id", "chunk_idx", "text", "user_message")
+    rows = chunks.where("label = 1").join(jobs(spark, base), ["doc_id", "chunk_idx"]).select("src", "doc_id", "chunk_idx", "text", "user_message")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,8 +201,9 @@ def _residue(spark: SparkSession, base: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     rank = F.when(F.col("defect") == "empty", 0).when(F.col("defect") == "refusal", 1).when(F.col("defect") == "copy", 2).when(F.col("defect") == "language", 3).otherwise(4)
-    pairs = compared(spark, base)
-    cuts = truncation.cut_chunks(spark, base).where("cut").select("src", "doc_id", "chunk_idx").distinct().withColumn("is_cut", F.lit(True))
+    chunks = written(truncation.all_chunks(spark, base), "chunks")
+    pairs = compared(spark, base, chunks)
+    cuts = truncation.cut(chunks, truncation.KEY, truncation.GROUP).where("cut").select("src", "doc_id", "chunk_idx").distinct().withColumn("is_cut", F.lit(True))
     all_pairs = pairs.join(cuts, list(truncation.KEY), "left").select("src", "doc_id", "chunk_idx", F.coalesce("defect", F.when(F.col("is_cut"), F.lit("truncated"))).alias("defect"))
     left = all_pairs.where("defect is not null").join(_residue(spark, base), list(truncation.KEY), "left_anti")
     return left.groupBy("doc_id", "chunk_idx").agg(F.min_by("defect", rank).alias("defect"))
@@ -218,8 +220,9 @@ def p2_rates(spark: SparkSession, base: str) -> DataFrame:
 
 def _cuts(spark: SparkSession, base: str) -> DataFrame:
     """All chunks of both tables with the verdict, cases of the other problems and defects aside."""
-    cuts = truncation.cut_chunks(spark, base)
-    others = compared(spark, base).where("defect in ('refusal', 'copy', 'language')").select("src", "doc_id", "chunk_idx").union(_residue(spark, base)).distinct()
+    chunks = written(truncation.all_chunks(spark, base), "chunks")
+    cuts = truncation.cut(chunks, truncation.KEY, truncation.GROUP)
+    others = compared(spark, base, chunks).where("defect in ('refusal', 'copy', 'language')").select("src", "doc_id", "chunk_idx").union(_residue(spark, base)).distinct()
     return cuts.join(others, list(truncation.KEY), "left_anti")
 
 

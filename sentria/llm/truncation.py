@@ -241,7 +241,3 @@ def all_chunks(spark: SparkSession, base: str) -> DataFrame:
 
 KEY = ("src", "doc_id", "chunk_idx")
 GROUP = ("bucket", "gen_model")
-
-
-def cut_chunks(spark: SparkSession, base: str) -> DataFrame:
-    return cut(all_chunks(spark, base), KEY, GROUP)
