@@ -4,10 +4,10 @@ Hidden limits: the lengths of texts without an end mark are recomputed as code p
 UTF-16 units, with entities, as JSON, with CR LF; grouped by each of these within every bucket and
 model, a length that stands out from those around it is a storage limit.
 
-Endings: one pass counts, over all texts, how often each word and pair of words ends a sentence,
-which closing lines recur and which openings want a comma. A text without an end mark was cut if
-its last word is no word, if it stands at a hidden limit, or if sentences don't end like that; one
-whose last line recurs as a closing line is finished.
+Endings: one pass counts, over all distinct texts, how often each word and pair of words ends a
+sentence, which closing lines recur and which openings want a comma. A text without an end mark was
+cut if its last word is no word, if it stands at a hidden limit, or if sentences don't end like
+that; one whose last line recurs as a closing line in several of them is finished.
 
 Null and blank texts aren't cut. Repeated rows count once.
 """
@@ -101,10 +101,12 @@ def tail(text: str) -> tuple[str, list[str], bool]:
 
 
 def events(text: str) -> Counter:
-    """What a text says about endings: (kind, key, 1 if it ends a sentence) counted."""
+    """What a text says about endings: (kind, key, 1 if it ends a sentence) counted; kind t is an open text."""
     out: Counter = Counter()
     t = text.rstrip()
     open_end = state(t) == "open"
+    if open_end:
+        out["t", "", 0] += 1
     masked = _mask(t)
     parts, start = [], 0
     for m in _END.finditer(masked):
@@ -145,7 +147,8 @@ def events(text: str) -> Counter:
 
 
 def endings(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, key, n, e) over all texts: how often each was seen, and how often at an end."""
+    """(kind, key, n, e) over all distinct texts: how often each was seen, and how often at an end. Copies
+    count once: that a text occurs again doesn't say that texts end like it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -167,7 +170,7 @@ def endings(texts: DataFrame, text: str = "text") -> DataFrame:
                 held = Counter()
         yield out(held)
 
-    return texts.select(text).mapInArrow(run, "kind string, key string, n long, e long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    return texts.select(text).distinct().mapInArrow(run, "kind string, key string, n long, e long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
 def measured(rows: DataFrame, *key: str, text: str = "text") -> DataFrame:
@@ -209,7 +212,7 @@ def cut(rows: DataFrame, key: tuple[str, ...], group: tuple[str, ...], text: str
     seen = written(measured(rows, *key, *group, text=text), "measured")
     stats = written(endings(rows.select(text), text), "endings")
     n_words = stats.where("kind = 'u'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1
-    n_open = seen.where("state = 'open'").count()
+    n_open = stats.where("kind = 't'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limits = hidden_limits(seen, *group)
     ended = seen.where("state <> 'open'").select(*key, *group, "state", F.lit(False).alias("at_limit"), F.lit(False).alias("cut"))
     open_ = seen.where("state = 'open'")
@@ -228,7 +231,8 @@ def cut(rows: DataFrame, key: tuple[str, ...], group: tuple[str, ...], text: str
     by_chance = F.col("b_n") * F.lit(n_open / n_words)
     closing = (F.col("f_n") >= 3) & (F.size(F.split("frag", " ")) >= 2) & (F.col("f_n") >= 20 * by_chance)
     wants_comma = (F.col("o_n") >= 20) & (F.col("o_e") >= NEEDS_COMMA * F.col("o_n")) & ~F.col("comma")
-    verdict = F.when(F.col("broken"), True).when(closing, False).when(F.col("at_limit"), True).when(F.col("u_n") < 2, True).when(likely < ENDS_LIKE_THAT, True).otherwise(wants_comma)
+    # at a limit, a last word that no text has complete is a cut one, however often its fragment recurs
+    verdict = F.when(F.col("broken") | (F.col("at_limit") & (F.col("u_n") == 0)), True).when(closing, False).when(F.col("at_limit"), True).when(F.col("u_n") < 2, True).when(likely < ENDS_LIKE_THAT, True).otherwise(wants_comma)
     return full.select(*key, *group, "state", "at_limit", verdict.alias("cut")).unionByName(ended)
 
 

@@ -94,6 +94,23 @@ def test_cut(spark):
     assert 150 in {r["length"] for r in limits.collect()}
 
 
+def test_cut_copies(spark):
+    """Copies under other ids: a cut text stays cut, within a word or at a limit; closing lines stay finished."""
+    rng = random.Random(6)
+    nouns = ["lamp", "harbour", "kettle", "violin", "mirror"]
+    sentence = lambda: f"The {rng.choice(nouns)} was old, so my aunt carried the {rng.choice(nouns)} near the {rng.choice(nouns)}."
+    full = [" ".join(sentence() for _ in range(6)) for _ in range(200)]
+    cut_ = [full[0] + " My aunt carried the harb"] * 70
+    for x in full[10:30]:  # all cut at 180, one of them with 40 copies within a word, one with 40 after a word
+        at = x.rindex(" ", 0, 170)
+        cut_.append((x[:at] + " because " + "x" * 40)[:180])
+    cut_ += [cut_[-1]] * 40 + [(full[5] + " and then all of us saw that old lamp near the")[-180:]] * 40
+    whole = full + [x + " Thank you for reading" for x in full[20:40]]
+    rows = spark.createDataFrame([(i, "b", "m", x) for i, x in enumerate(cut_ + whole)], "id int, bucket string, gen_model string, text string")
+    got = {r["id"] for r in truncation.cut(rows, ("id",), ("bucket", "gen_model")).where("cut").collect()}
+    assert got == set(range(len(cut_)))
+
+
 def share(words, n=6):
     seen, hit = set(), [False] * len(words)
     for i in range(len(words) - n + 1):
