@@ -5,6 +5,10 @@ occurrences. One pass counts, in every document, how often each short word has a
 small letter, a comma or a digit (an abbreviation there) and how often it stands without a stop (a
 word). The document's own counts decide; where it says nothing the corpus does, through the few
 words whose counts are above a share of all (a bound of their number), and then the fixed lists.
+A listed abbreviation is a word if it stands in small letters before small letters. That it is an
+abbreviation doesn't tell whether a sentence ends with it too: before a capital, one that may end a
+sentence doesn't if what follows is a proper name by its unambiguous places, those inside a
+sentence: it mostly has an article there, or it never begins a sentence elsewhere.
 Scripts have their own end marks: those of Chinese, Japanese, Hindi and Arabic end a sentence
 whatever follows, and in Thai a space between Thai letters does.
 
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +41,18 @@ LATIN_ENDS = ".!?…"
 OTHER_ENDS = "。！？｡।॥؟۔"
 #: Words that go on with a sentence, where capitals hide it.
 GOES_ON = frozenset("and or but then across inside outside opposite behind near next above below beside before because of in at on for from with to la en detrás junto frente sobre bajo dentro cerca al y à au sur sous dans devant derrière près et im am auf unter neben hinter vor und aus".split())
+#: Articles and possessives, before a name that doesn't begin a sentence by itself.
+ARTICLES = frozenset("the a an our his her their its my your el la los las un una der die das den dem des ein eine einen le les du".split())
+LISTED = TITLES | EITHER
 REACH = 700
 MOST_LETTERS = 6
 LEAST_SHARE = 2e-4
 
 _MARK = re.compile(f"[{LATIN_ENDS}]+|[{OTHER_ENDS}]+|[\"“«「『(（\\[„‹《【]|(?<=[ก-๛])[ \\u00a0\\u200b]+(?=[ก-๛])|\\n\\s*\\n")
 _EVIDENCE = re.compile(r"(?<![\w.])((?:\w\.)*\w{1,6})(\.?)(?=(\s*)(\S?))")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_INSIDE = re.compile(r"([^\W\d_]+),?\s+(?=([^\W\d_]+))")
+_START = re.compile(r"(?:^|[^\W\d_]{4}\.\s+|[!?]\s+|\n\s*)([^\W\d_]+)")
 _UNSPACED = re.compile(f"[{UNSPACED}]")
 #: Verbs of speech.
 _SPEECH = re.compile(r"\b(?:asked|shouted|said|cried|called|replied|whispered|wrote|preguntó|gritó|dijo|fragte|rief|sagte|cria|demanda|dit)\b")
@@ -50,7 +60,8 @@ _SPEECH = re.compile(r"\b(?:asked|shouted|said|cried|called|replied|whispered|wr
 
 def evidence(text: str) -> Counter:
     """(word, True): it stood with a stop inside a sentence; (word, False): without a stop; (word,
-    None): with a stop before what may begin a sentence."""
+    None): with a stop before what may begin a sentence; (word, "plain"), of listed abbreviations:
+    in small letters without a stop before small letters."""
     out: Counter = Counter()
     for m in _EVIDENCE.finditer(text):
         w, stop, gap, then = m.group(1).lower(), m.group(2), m.group(3), m.group(4)
@@ -58,6 +69,8 @@ def evidence(text: str) -> Counter:
             continue
         if not stop:
             out[w, False] += 1
+            if w in LISTED and gap and then.islower() and m.group(1).islower():
+                out[w, "plain"] += 1
         elif then and (then.islower() or then in ",;:" or (then.isdigit() and gap)):
             out[w, True] += 1
         elif gap:
@@ -69,15 +82,31 @@ def abbreviations(own: Counter) -> dict[str, bool]:
     """What a document's own unambiguous occurrences say."""
     out = {}
     for (w, stop), n in own.items():
-        if stop:
+        if stop is True:
             words = own.get((w, False), 0)
             if n > 2 * words and n > own.get((w, None), 0):
-                out[w] = n >= 2 or len(w) <= 3
-        elif stop is False and n >= 2 and (w, True) not in own:
+                out[w] = n >= 2 or len(w) <= 3 or w in LISTED
+        elif stop is False and (own.get((w, "plain"), 0) if w in LISTED else n) >= 2 and (w, True) not in own:
             out[w] = False
     return out
 
 
+def names(text: str) -> set[str]:
+    """Proper names that go on with a sentence after an abbreviation, by their unambiguous places."""
+    inside: Counter = Counter()
+    behind: Counter = Counter()
+    small = set()
+    for m in _INSIDE.finditer(text):
+        before, w = m.groups()
+        if w.islower():
+            small.add(w)
+        elif before.islower() and w[0].isupper() and not w.isupper():
+            inside[w] += 1
+            behind[w] += before in ARTICLES
+    begins = set(_START.findall(text)) if inside else ()
+    return {w for w, n in inside.items() if w.lower() not in small and (2 * behind[w] > n or (n >= 2 and w not in begins))}
+
+
 def _regions(text: str) -> dict[int, int]:
     """Where quotations and brackets begin, and the place after each of them."""
     out: dict[int, int] = {}
@@ -117,6 +146,14 @@ def split(text: str, known: dict[str, bool] | None = None) -> list[tuple[int, in
     own = abbreviations(evidence(text))
     known = known or {}
     regions = _regions(text)
+    found: list[set[str]] = []
+
+    def named(k: int) -> bool:
+        if not found:  # only a text that asks is read for names
+            found.append(names(text))
+        m = _LETTERS.match(text, k)
+        return bool(m) and m.group() in found[0]
+
     cuts: list[int] = []
     start, at = 0, 0
 
@@ -156,7 +193,7 @@ def split(text: str, known: dict[str, bool] | None = None) -> list[tuple[int, in
                 start = at = e
             continue
         e = closers(e)
-        if mark[0] in OTHER_ENDS or _ends(text, i, m.end(), e, begin(), mark, own, known):
+        if mark[0] in OTHER_ENDS or _ends(text, i, m.end(), e, begin(), mark, own, known, named):
             cuts.append(e)
             start = e
         at = e
@@ -197,7 +234,7 @@ def _after_region(text: str, i: int, e: int, begin: int, last: str, mark: str, i
     return last in ".。।۔｡" or not whole
 
 
-def _ends(text: str, i: int, me: int, e: int, begin: int, mark: str, own: dict[str, bool], known: dict[str, bool]) -> bool:
+def _ends(text: str, i: int, me: int, e: int, begin: int, mark: str, own: dict[str, bool], known: dict[str, bool], named: Callable[[int], bool]) -> bool:
     """Whether a sentence ends with the mark text[i:me] (up to e with what closes after it)."""
     n = len(text)
     if e >= n:
@@ -252,19 +289,21 @@ def _ends(text: str, i: int, me: int, e: int, begin: int, mark: str, own: dict[s
         joined = re.sub(r"\s", "", row.group()).lower().rstrip(".")
         single = joined.count(".") == 0
         if joined in ("a.m", "p.m") or joined in EITHER:
-            return not _lower(nxt) and words >= 4 and not _goes_on(text, k)
+            return not _lower(nxt) and words >= 4 and not _goes_on(text, k) and not named(k)
         if single and len(word) == 1 and word.isalpha():
             if word.isupper() or word.lower() in TITLES or _caseless(word) or re.match(r"[^\W\d_]\.", text[k : k + 2]):
                 return False
             return not _lower(nxt)
-        return not _lower(nxt) and words >= 4 and joined not in TITLES
-    if low in TITLES:
-        return low == "no" and not nxt.isdigit() and (word.islower() or own.get("no") is not True)
-    if low in EITHER:
-        return not _lower(nxt) and words >= 4 and not _goes_on(text, k)
+        return not _lower(nxt) and words >= 4 and joined not in TITLES and not named(k)
     said = own.get(low)
     if said is None:
         said = known.get(low)
+    if said is False and low in LISTED and word.islower():
+        return True
+    if low in TITLES:
+        return low == "no" and not nxt.isdigit() and said is not True
+    if low in EITHER:
+        return not _lower(nxt) and words >= 4 and not _goes_on(text, k) and not named(k)
     if said and len(low) <= MOST_LETTERS:
         return False
     return True

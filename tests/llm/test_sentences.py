@@ -54,6 +54,27 @@ def test_document_decides():
     assert len(split("The zog. Rolf came here.", {"zog": True})) == 1
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["My uncle left the Navy early.", "They joined the U.S. Navy in May.", "It rained."],
+        ["We saw that Marlo and Marlo waved.", "They moved here from the U.K. Marlo Park in May."],
+        ["They moved here from the U.K.", "Damani shook the lamp.", "We saw that Damani smiled."],
+        ["The art of it and the art here are old.", "We studied modern art.", "Then we left."],
+        ["My prof said that my prof knew.", "Then Prof. Zorn came."],
+        ["The co of it and the co here.", "Go co.", "Then we left."],
+    ],
+)
+def test_names_and_listed_words(parts):
+    text = " ".join(parts)
+    assert [text[s:e] for s, e in split(text)] == parts
+
+
+def test_corpus_before_lists():
+    assert len(split("We studied modern art. Then we left.")) == 1
+    assert len(split("We studied modern art. Then we left.", {"art": False})) == 2
+
+
 def test_empty_and_long():
     assert split("") == [] and split("  \n ") == []
     assert split("x " * 50_000)[0] == (0, 99_999)
