@@ -36,6 +36,8 @@ EITHER = frozenset("etc inc co ltd corp llc jr a.m p.m u.k u.s u.s.a u.n e.u b.c
 BEFORE_ORDINAL = frozenset("am der die das den dem des im vom zum zur beim jeder jede jedes seit bis ab unser unsere unserem mein meine sein ihr".split())
 #: Pairs of quotation marks and brackets.
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "„": "“", "‹": "›", "《": "》", "【": "】"}
+#: what each closing mark may close
+OPENERS = {c: [o for o, x in PAIRS.items() if x == c] for c in PAIRS.values()}
 CLOSE = "\"'”’»」』)]）】›》"
 LATIN_ENDS = ".!?…"
 OTHER_ENDS = "。！？｡।॥؟۔"
@@ -44,7 +46,6 @@ GOES_ON = frozenset("and or but then across inside outside opposite behind near
 #: Articles and possessives, before a name that doesn't begin a sentence by itself.
 ARTICLES = frozenset("the a an our his her their its my your el la los las un una der die das den dem des ein eine einen le les du".split())
 LISTED = TITLES | EITHER
-REACH = 700
 MOST_LETTERS = 6
 LEAST_SHARE = 2e-4
 
@@ -53,6 +54,8 @@ _EVIDENCE = re.compile(r"(?<![\w.])((?:\w\.)*\w{1,6})(\.?)(?=(\s*)(\S?))")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INSIDE = re.compile(r"([^\W\d_]+),?\s+(?=([^\W\d_]+))")
 _START = re.compile(r"(?:^|[^\W\d_]{4}\.\s+|[!?]\s+|\n\s*)([^\W\d_]+)")
+_PAIRED = re.compile("[\"" + re.escape("".join({*PAIRS, *PAIRS.values()})) + "]")
+_FACE = re.compile(r"[:;=][-']?$")
 _UNSPACED = re.compile(f"[{UNSPACED}]")
 #: Verbs of speech.
 _SPEECH = re.compile(r"\b(?:asked|shouted|said|cried|called|replied|whispered|wrote|preguntó|gritó|dijo|fragte|rief|sagte|cria|demanda|dit)\b")
@@ -108,31 +111,33 @@ def names(text: str) -> set[str]:
 
 
 def _regions(text: str) -> dict[int, int]:
-    """Where quotations and brackets begin, and the place after each of them."""
+    """Where quotations and brackets begin, and the place after each of them, over the whole text: one
+    stack for each kind, so that one left open holds no other back."""
     out: dict[int, int] = {}
-    for m in re.finditer(r"[“«「『(（\[„‹《【]", text):
-        i, close = m.start(), PAIRS[m.group()]
-        depth, at = 0, i
-        limit = min(len(text), i + REACH)
-        while at < limit:
-            c = text[at]
-            if c == m.group() and c != close:
-                depth += 1
-            elif c == close and at > i:
-                depth -= 1
-                if depth <= 0:
-                    out[i] = at + 1
-                    break
-            at += 1
-    at = 0
-    while (i := text.find('"', at)) >= 0:
+    open_: dict[str, list[int]] = {}
+    straight = -1
+    for m in _PAIRED.finditer(text):
+        i, c = m.start(), m.group()
         before, after = text[i - 1 : i], text[i + 1 : i + 2]
-        at = i + 1
-        if (not before or before.isspace() or before in "([{“«—–-.!?…") and after and not after.isspace():
-            j = text.find('"', i + 1, i + REACH)
-            if j > 0:
-                out[i] = j + 1
-                at = j + 1
+        if c == '"':
+            begins = bool(after) and not after.isspace()
+            apart = not before or before.isspace() or before in "([{“«—–-"
+            if straight >= 0 and not (begins and apart):
+                out[straight] = i + 1
+                straight = -1
+            elif begins and (apart or before in ".!?…"):
+                straight = i
+            continue
+        if c in "()" and _FACE.search(text, max(0, i - 2), i):
+            continue
+        for opener in OPENERS.get(c, ()):
+            if open_.get(opener):
+                out[open_[opener].pop()] = i + 1
+                break
+        else:
+            # »so« turns them round: what stands behind a word and before a gap closes
+            if c in PAIRS and not (c in "«‹" and before and not before.isspace() and (not after or after.isspace())):
+                open_.setdefault(c, []).append(i)
     return out
 
 

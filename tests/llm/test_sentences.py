@@ -75,6 +75,24 @@ def test_corpus_before_lists():
     assert len(split("We studied modern art. Then we left.", {"art": False})) == 2
 
 
+@pytest.mark.parametrize("marks", ["“”", "«»", "()", '""', "„“", "「」"])
+def test_long_quotation(marks):
+    """A quotation of any length stays whole; one that is never closed holds nothing together."""
+    said = "We went on! " * 200
+    a, b = marks
+    text = f"Nim said {a}{said.strip()}{b} and left. Then it rained."
+    assert [text[s:e] for s, e in split(text)] == [text[:-16], "Then it rained."]
+    text = f"Nim said {a}yes. {said}She said {a}Go on! Go!{b} and left."
+    assert len(split(text)) == 202
+
+
+def test_marks_that_open_nothing():
+    text = "I was sad :( that day. " + "We went on. " * 100 + "I was glad :) then."
+    assert len(split(text)) == 102
+    text = "»Halt.« " + "Wir gingen fort. " * 100 + "»Nein.«"
+    assert len(split(text)) >= 101
+
+
 def test_empty_and_long():
     assert split("") == [] and split("  \n ") == []
     assert split("x " * 50_000)[0] == (0, 99_999)
