@@ -3,8 +3,8 @@
 Document-centred: whether a word with a full stop is an abbreviation is read off its unambiguous
 occurrences. One pass counts, in every document, how often each short word has a stop before a
 small letter, a comma or a digit (an abbreviation there) and how often it stands without a stop (a
-word). The document's own counts decide; where it says nothing the corpus does, through the few
-words whose counts are above a share of all (a bound of their number), and then the fixed lists.
+word). The document's own counts decide; where it says nothing the corpus' do, over its distinct
+texts (each document's open words are joined to the counts), and then the fixed lists.
 A listed abbreviation is a word if it stands in small letters before small letters. That it is an
 abbreviation doesn't tell whether a sentence ends with it too: before a capital, one that may end a
 sentence doesn't if what follows is a proper name by its unambiguous places, those inside a
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm.common import UNSPACED, table
+from sentria.sources import written
 
 #: Abbreviations before names, numbers or explanations; they end no sentence.
 TITLES = frozenset("dr mr mrs ms prof st rev hon capt col gen lt sgt sra sr srta d dña dn fr hr mme mlle m mm avda av fig figs no nos nr núm num vol p pp ca approx env art cap ch sec e.g i.e cf vs z.b d.h bzw usw u.a p.ej ej s bd hg hrsg tel डॉ श्री د أ م".split())
@@ -47,13 +48,16 @@ GOES_ON = frozenset("and or but then across inside outside opposite behind near
 ARTICLES = frozenset("the a an our his her their its my your el la los las un una der die das den dem des ein eine einen le les du".split())
 LISTED = TITLES | EITHER
 MOST_LETTERS = 6
-LEAST_SHARE = 2e-4
+LEAST_STOPS = 3
+#: entries of counts held by a task before they are given out
+MOST_HELD = 400_000
 
 _MARK = re.compile(f"[{LATIN_ENDS}]+|[{OTHER_ENDS}]+|[\"“«「『(（\\[„‹《【]|(?<=[ก-๛])[ \\u00a0\\u200b]+(?=[ก-๛])|\\n\\s*\\n")
 _EVIDENCE = re.compile(r"(?<![\w.])((?:\w\.)*\w{1,6})(\.?)(?=(\s*)(\S?))")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INSIDE = re.compile(r"([^\W\d_]+),?\s+(?=([^\W\d_]+))")
 _START = re.compile(r"(?:^|[^\W\d_]{4}\.\s+|[!?]\s+|\n\s*)([^\W\d_]+)")
+_STOPPED = re.compile(r"(?<!\w)((?:\w\.)*\w{1,6})\.(?!\w)")
 _PAIRED = re.compile("[\"" + re.escape("".join({*PAIRS, *PAIRS.values()})) + "]")
 _FACE = re.compile(r"[:;=][-']?$")
 _UNSPACED = re.compile(f"[{UNSPACED}]")
@@ -329,25 +333,42 @@ def _caseless(w: str) -> bool:
     return w.upper() == w.lower()
 
 
-def corpus_abbreviations(docs: DataFrame, text: str = "doc_text") -> dict[str, bool]:
-    """Words that are abbreviations by the whole corpus' unambiguous occurrences. A word is kept only
-    if its share of all such occurrences is at least LEAST_SHARE, so there are at most 1 / LEAST_SHARE."""
+def asked(text: str, own: dict[str, bool]) -> set[str]:
+    """The words with a stop about which a text's own occurrences say nothing."""
+    return {w for m in _STOPPED.finditer(text) if not (w := m.group(1).lower()).isdigit() and len(w) <= MOST_LETTERS and w not in own}
+
+
+def corpus_abbreviations(docs: DataFrame, text: str = "doc_text") -> DataFrame:
+    """(h, words): for each distinct text, by its digest, the words it asks for that are abbreviations by
+    the unambiguous occurrences in all distinct texts. The counts stay a table of any size; what a
+    text asks for is joined to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            types = (("h", pa.string()), ("w", pa.string()), ("stop", pa.int64()), ("bare", pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], [n for n, _ in types])
+
         held: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    held.update({k: v for k, v in evidence(t).items() if len(k[0]) <= MOST_LETTERS})
-        words = {w for w, _ in held}
-        rows = [(w, held[w, True], held[w, False] + held[w, None]) for w in words]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], ["w", "stop", "bare"])
+            asks = []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = evidence(t)
+                held.update({k: v for k, v in found.items() if len(k[0]) <= MOST_LETTERS})
+                asks += [(h, w, None, None) for w in asked(t, abbreviations(found))]
+            yield out(asks)
+            if len(held) > MOST_HELD:
+                yield out(_counts(held))
+                held = Counter()
+        yield out(_counts(held))
+
+    texts = docs.select(text).where(F.col(text) != "").distinct()
+    rows = written(texts.select(F.sha2(text, 256).alias("h"), text).mapInArrow(run, "h string, w string, stop long, bare long"), "stops")
+    counted = rows.where("h is null").groupBy("w").agg(F.sum("stop").alias("stop"), F.sum("bare").alias("bare")).where((F.col("stop") >= LEAST_STOPS) & (F.col("stop") > F.col("bare"))).select("w")
+    return rows.where("h is not null").select("h", "w").join(counted, "w").groupBy("h").agg(F.collect_set("w").alias("words"))
+
 
-    counted = docs.select(text).mapInArrow(run, "w string, stop long, bare long").groupBy("w").agg(F.sum("stop").alias("stop"), F.sum("bare").alias("bare")).where("stop > 0").persist()
-    total = counted.agg(F.coalesce(F.sum("stop"), F.lit(0))).first()[0]
-    rows = counted.where((F.col("stop") >= 3) & (F.col("stop") >= LEAST_SHARE * total) & (F.col("stop") > F.col("bare"))).select("w").collect()
-    counted.unpersist()
-    return {r[0]: True for r in rows}
+def _counts(held: Counter) -> list[tuple]:
+    return [(None, w, held[w, True], held[w, False] + held[w, None]) for w in {w for w, _ in held}]
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", keep_text: bool = False) -> DataFrame:
@@ -358,8 +379,8 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, starts, ends, said = [], [], [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                for s, e in split(t, known) if t else ():
+            for k, (t, words) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for s, e in split(t, dict.fromkeys(words or (), True)) if t else ():
                     rows.append(k)
                     starts.append(s)
                     ends.append(e)
@@ -372,7 +393,8 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", keep
                 names.append("sentence_text")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    out = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, char_start int, char_end int" + (", sentence_text string" if keep_text else ""))
+    rows = docs.select(key, text, F.sha2(text, 256).alias("h")).join(known, "h", "left").select(key, text, "words")
+    out = rows.mapInArrow(run, f"`{key}` {kind}, char_start int, char_end int" + (", sentence_text string" if keep_text else ""))
     return out.distinct()
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sentria.llm.sentences import abbreviations, evidence, split
+from sentria.llm.sentences import abbreviations, asked, evidence, sentences, split
 
 
 @pytest.mark.parametrize(
@@ -93,6 +93,29 @@ def test_marks_that_open_nothing():
     assert len(split(text)) >= 101
 
 
+def test_rare_abbreviations(spark):
+    """A rare abbreviation counts however many stops the rest has; copies of a text count once."""
+    rows = [(f"c{i}", "qux. and " * 20_000) for i in range(6)] + [(f"z{i}", f"{i} saw the zog. near it, the zog. of old, the zog. by us") for i in range(2)]
+    rows += [(f"v{i}", "We saw the vab. near it, the vab. of old") for i in range(4)]
+    rows += [("a", "The zog. Rolf came here."), ("b", "The vab. Rolf came here.")]
+    docs = spark.createDataFrame(rows, "doc_id string, doc_text string")
+    got = {r["doc_id"]: r["count"] for r in sentences(docs).groupBy("doc_id").count().collect()}
+    assert got["a"] == 1 and got["b"] == 2
+
+
+def test_asked():
+    """split looks up no word that asked doesn't name."""
+
+    class Seen(dict):
+        def get(self, w, default=None):
+            looked.add(w)
+
+    for text in ("It was a zog.Then two. Three, (four.) Five “six.” Seven-eight. Nine 10. u.s. And etc. Then it.is. So.", "“Zog.” Then a vab. Rolf."):
+        looked = set()
+        split(text, Seen(x=True))
+        assert {w for w in looked if w.isalpha() and len(w) <= 6} <= asked(text, abbreviations(evidence(text)))
+
+
 def test_empty_and_long():
     assert split("") == [] and split("  \n ") == []
     assert split("x " * 50_000)[0] == (0, 99_999)
