@@ -14,6 +14,7 @@ phrases count as repeated runs); case, digits and punctuation don't count.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,10 @@ from sentria.sources import written
 RUN = 6
 #: documents of more parts are measured without gathering them
 MOST_PARTS = 20_000
+#: numerals such as Roman ones and one half, which \w takes beside letters and digits (there are none beyond)
+NUMERALS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
 #: a run of letters; in scripts without spaces, a phrase
-LETTER_WORD = re.compile(f"(?:[^\\W\\d_]|[{MARKS}])+")
+LETTER_WORD = re.compile(f"(?:[^\\W\\d_{NUMERALS}]|[{MARKS}])+")
 #: name, share from which it fails
 RULES = (("repeated_run_share", 1 / 3), ("repeated_part_share", 0.3), ("top_trigram_share", 0.1), ("repeated_long_run_share", 0.2))
 #: versioned policies: the rules that reject a document
@@ -122,6 +125,8 @@ def ledger(parts: DataFrame, *key: str, order: str = "ord", text: str = "text",
     names = [n for n, _ in RULES]
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), "n_words long", *(f"{n} double" for n in names), "bits long"])
     if huge:
+        # repeated rows aside
+        sizes = parts.join(sizes.select(*key), list(key), "left_semi").select(*key, order, text).distinct().groupBy(*key).count().where(F.col("count") > most_parts)
         sizes = written(sizes.select(*key), "huge")
         rest = parts.join(sizes, list(key), "left_anti")
         return _gathered(rest, key, order, text, schema).unionByName(_windowed(parts.join(sizes, list(key), "left_semi"), key, order, text))
@@ -155,11 +160,29 @@ def _gathered(parts: DataFrame, key: tuple[str, ...], order: str, text: str, sch
 def _windowed(parts: DataFrame, key: tuple[str, ...], order: str, text: str) -> DataFrame:
     """The same measurements for documents of any number of parts: words in rows, runs by lead, first
     places by an aggregate that combines map-side. Nothing of a document is held at once."""
+    types = dict(parts.dtypes)
     one = parts.select(*key, order, text).distinct()
-    pattern = f"(?:[\\p{{L}}]|[{MARKS}])+"
-    rows = one.select(*key, order, F.xxhash64(text).alias("part"), F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("i", "w"))
-    place = W.partitionBy(*key).orderBy(order, "part", "i")
-    rows = rows.withColumn("pos", F.row_number().over(place))
+    one = one.select(*key, F.row_number().over(W.partitionBy(*key).orderBy(order, text)).alias("part"), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, place, said = [], [], []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]), pa.array(place, pa.int32()), pa.array(said, pa.string())], [*key, "part", "i", "w"])
+
+            for k, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                for n, m in enumerate(LETTER_WORD.finditer(t.lower())):
+                    at.append(k)
+                    place.append(n)
+                    said.append(m.group())
+                    if len(at) >= 50_000:
+                        yield out()
+                        at, place, said = [], [], []
+            yield out()
+
+    rows = one.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in key), "part int, i int, w string"]))
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy(*key).orderBy("part", "i")))
     own = W.partitionBy(*key).orderBy("pos")
 
     def run_share(n: int) -> DataFrame:
@@ -171,14 +194,15 @@ def _windowed(parts: DataFrame, key: tuple[str, ...], order: str, text: str) ->
         return again.withColumn("step", step).groupBy(*key).agg(F.sum("step").alias("covered"))
 
     words = rows.groupBy(*key).agg(F.count("*").alias("n_words"))
+    words = parts.select(*key).distinct().join(words, list(key), "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
     three = F.xxhash64("w", F.lead("w", 1).over(own), F.lead("w", 2).over(own))
     top = rows.withColumn("gram", F.when(F.lead("w", 2).over(own).isNotNull(), three)).where("gram is not null").groupBy(*key, "gram").count().groupBy(*key).agg(F.max("count").alias("top"))
-    sized = rows.groupBy(*key, order, "part").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
-    sized = sized.join(rows.groupBy(*key, order, "part").agg(F.sum(F.xxhash64("w", "i").cast("decimal(38,0)")).alias("content")), [*key, order, "part"])
+    sized = rows.groupBy(*key, "part").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
+    sized = sized.join(rows.groupBy(*key, "part").agg(F.sum(F.xxhash64("w", "i").cast("decimal(38,0)")).alias("content")), [*key, "part"])
     repeated = sized.groupBy(*key, "content").agg(F.sum("n").alias("all_n"), F.max("n").alias("one_n")).groupBy(*key).agg(F.sum(F.col("all_n") - F.col("one_n")).alias("again"))
     on = list(key)
     joined = words.join(run_share(RUN).withColumnRenamed("covered", "c6"), on, "left").join(run_share(2 * RUN).withColumnRenamed("covered", "c12"), on, "left").join(top, on, "left").join(repeated, on, "left")
-    share = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double") / F.col("n_words")
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double") / F.greatest("n_words", F.lit(1))
     shares = [share("c6"), share("again"), F.when(F.col("top") > 1, share("top") * 3).otherwise(F.lit(0.0)), share("c12")]
     out = joined.select(*key, "n_words", *[s.alias(n) for s, (n, _) in zip(shares, RULES)])
     bits = F.lit(0).cast("long")

@@ -135,6 +135,23 @@ def test_repetition(spark, most_parts):
         assert bool(got[d]["bits"] & 1) == (share(words) >= 1 / 3)
 
 
+@pytest.mark.parametrize("most_parts", [20_000, 1])
+def test_repetition_ties(spark, most_parts):
+    """Tied and null orders go by the text, numerals are no letters, and copies of one part are one part."""
+    rng = random.Random(7)
+    docs = {i: [(rng.choice([None, 0, 1]), " ".join(rng.choice(["ab", "cd", "Ⅷ", "½", "x²y", "3"]) for _ in range(rng.randint(1, 9)))) for _ in range(8)] for i in range(40)}
+    docs[99] = [(0, "3 ½"), (0, "4!")]
+    docs[100] = [(0, "one line here\none line here\nand another")] * 3
+    rows = spark.createDataFrame([(d, k, x) for d, v in docs.items() for k, x in v], "doc int, ord int, text string")
+    got = {r["doc"]: r for r in repetition.ledger(rows, "doc", most_parts=most_parts).collect()}
+    for d, v in docs.items():
+        parts = [x for _, x in sorted(set(v), key=lambda p: (p[0] is not None, p[0] or 0, p[1].encode()))]
+        words = "".join(c if c in "abcdxyefghijklmnopqrstuvwz" else " " for c in " ".join(parts)).split()
+        assert got[d]["n_words"] == len(words)
+        assert got[d]["repeated_run_share"] == pytest.approx(share(words))
+    assert got[100]["repeated_part_share"] == pytest.approx(3 / 8)
+
+
 def test_ablation(spark):
     book = spark.createDataFrame([(1, 0b0001), (2, 0b0011), (3, 0b0000), (4, 0b1000)], "doc int, bits long")
     rows = {r["rule"]: r for r in repetition.ablation(book).collect()}
