@@ -197,7 +197,7 @@ def measured(rows: DataFrame, *key: str, text: str = "text") -> DataFrame:
 def hidden_limits(seen: DataFrame, *group: str) -> DataFrame:
     """(group..., encoding, length, n): lengths at which open texts pile up, under each encoding."""
     each = seen.where("state = 'open' and not lengths is null").select(*group, "frag", F.posexplode("lengths").alias("enc", "length"))
-    counted = each.groupBy(*group, "enc", "length").agg(F.approx_count_distinct("frag").alias("n"))
+    counted = each.groupBy(*group, "enc", "length").agg(F.count_distinct("frag").alias("n"))
     around = W.partitionBy(*group, "enc").orderBy("length").rangeBetween(-60, 60)
     dense = counted.withColumn("near", (F.sum("n").over(around) - F.col("n")) / 120.0)
     names = F.array(*[F.lit(n) for n in LENGTHS])

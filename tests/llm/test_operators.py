@@ -111,6 +111,13 @@ def test_cut_copies(spark):
     assert got == set(range(len(cut_)))
 
 
+def test_limits_are_counted_exactly(spark):
+    texts = [(n * 1_000 + i, f"{'x' * (n - 5)}{f'{i:05d}'.translate(str.maketrans('0123456789', 'abcdefghij'))}") for n, many in ((400, 997), (700, 2_003), (900, 1_501)) for i in range(many)]
+    rows = spark.createDataFrame(texts, "id int, text string").selectExpr("id", "'b' as bucket", "text")
+    found = truncation.hidden_limits(truncation.measured(rows, "id", "bucket"), "bucket").where("encoding = 'code_points'")
+    assert {r["length"]: r["n"] for r in found.collect()} == {400: 997, 700: 2_003, 900: 1_501}
+
+
 def share(words, n=6):
     seen, hit = set(), [False] * len(words)
     for i in range(len(words) - n + 1):
