@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentria.llm import residue, truncation
@@ -115,14 +116,12 @@ class Languages:
 
 
 def fitted(spark: SparkSession, base: str) -> Languages:
-    """The model, fitted on eval_items: PER_LANGUAGE characters of each language at most."""
+    """The model, fitted on eval_items: of each language, wherever it begins, the texts up to the one
+    that reaches PER_LANGUAGE characters."""
     rows = table(spark, base, "eval_items", "item_id", "lang", "text").where("lang is not null and text is not null")
-    held: dict[str, list[str]] = {}
-    for lang, text in rows.orderBy("item_id").select("lang", "text").limit(5_000).toLocalIterator():
-        got = held.setdefault(lang, [])
-        if sum(map(len, got)) < PER_LANGUAGE:
-            got.append(text)
-    return Languages([(k, t) for k, v in held.items() for t in v])
+    before = W.partitionBy("lang").orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("held", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("held") < PER_LANGUAGE)
+    return Languages([(r["lang"], r["text"]) for r in rows.select("lang", "text").toLocalIterator()])
 
 
 def question(message: str) -> str:

@@ -65,6 +65,13 @@ def test_defects(languages, answer, what):
     assert pairs.defect(answer, MESSAGE, languages) == what
 
 
+def test_late_language(spark, tmp_path):
+    """A language that begins after thousands of items of another is known too."""
+    items = [(i, "b", "en", f"the lamp near the harbour {i}") for i in range(6_000)] + [(7_000 + i, "b", "de", "die Lampe neben dem Hafen und der Garten") for i in range(3)]
+    model = pairs.fitted(spark, t.write(spark, str(tmp_path), {"eval_items": items}))
+    assert model.names == ["de", "en"] and model.of("neben dem Garten") == "de"
+
+
 def test_endings():
     for x in ("Done.", "Done!”", "with love ♥", "I kept the key :)", "终于。", "and so I did…"):
         assert truncation.state(x) == "ended", x
