@@ -2,17 +2,19 @@
 
 Two stages, each with a lookahead that is known beforehand:
 
-* ``pretokens``: a text, given in blocks, is cut into pretokens. A match is emitted once it ends
-  ``PRE_LOOKAHEAD`` characters before what has been read, since then neither a longer run nor a
+* ``stream_pretokens``: a text, given in blocks, is cut into pretokens. A match is emitted once it
+  ends ``PRE_LOOKAHEAD`` characters before what has been read, since then neither a longer run nor a
   contraction can change it.
 * ``PieceStream``: the bytes of a pretoken become tokens. The last token of the encoding of every
   prefix is the only one that is compatible with the last token of what stands before it, so the
-  encoding of any prefix is a chain of last tokens. The next token can only begin in the last
-  ``max_token_len`` positions (the merge list's lookahead), so what the chains of these positions
-  have in common is stable and is emitted; the state is the window, whatever the text's length.
-
-Finished pretokens are kept in a bounded memo as packed little-endian int32, so that a text is one
-join of byte strings. The vocabulary file is a parameter; it isn't part of this repository.
+  encoding of what has been read is a chain of last tokens. A token of the chain is emitted once as
+  many bytes follow it as the merge list can look ahead from it (``Merges.ahead``, computed from the
+  merge list alone): no bytes that are still to come can change it. The state is as long as the
+  lookahead and the longest token, whatever the text's length.
+
+Every pretoken of every text goes through the transducer. Results of short ones are kept in a
+bounded memo as packed little-endian int32, so that a text is one join of byte strings; the memo
+only saves repeated work. The vocabulary file is a parameter; it isn't part of this repository.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 PRE_LOOKAHEAD = 3
-BLOCK = 1 << 16
-LONG_PIECE = 1 << 12
+#: characters of a run that a stream of blocks holds before it gives out a part of it
+PART = 1 << 12
 MEMO_ENTRIES = 400_000
+#: characters of the longest pretoken or word whose result is kept
+MEMO_LENGTH = 48
 
 #: The characters with the property White_Space.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -113,18 +117,35 @@ class Merges:
         # tokens that no merge makes are never given out
         self.id_of = {k: i for k, i in self.id_of.items() if len(k) == 1 or i in rank}
         self.max_token_len = max(map(len, self.id_of))
-        lens: dict[bytes, set[int]] = {}
-        for k in self.id_of:
-            if len(k) > 1:
-                lens.setdefault(k[:2], set()).add(len(k))
-        #: by a token's first two bytes, the lengths of such tokens, longest first
-        self.lens = {k: tuple(sorted(v, reverse=True)) + (1,) for k, v in lens.items()}
         ends: dict[bytes, set[int]] = {}
         for k in self.id_of:
             if len(k) > 1:
                 ends.setdefault(k[-2:], set()).add(len(k))
-        self.end_lens = {k: tuple(sorted(v)) for k, v in ends.items()}
+        #: by a token's last two bytes, the lengths of such tokens, shortest first
+        self.end_lens = {k: (1, *sorted(v)) for k, v in ends.items()}
         self._ok: dict[tuple[int, int], bool] = {}
+        #: bytes that must follow each token before it is final
+        self.ahead = self._lookahead()
+        self.lookahead = max(self.ahead)
+
+    def _lookahead(self) -> list[int]:
+        """Sufficient lookahead of each token, from the merge list, in one pass from the first merge on.
+
+        Let ``made[t]`` be how many bytes behind a place must be known to tell whether t is made there.
+        t = (u, v) is made unless u or v isn't, or one of them was merged before with what stands
+        beside it: v with some x (which needs the bytes of x and what tells whether (v, x) is made) or
+        u with some z. Only earlier merges can do that, so each merge asks for numbers that are known.
+        A made token is final once it is known that no merge at all takes it."""
+        size = [len(b) for b in self.bytes_of]
+        made = [0] * len(size)
+        right_of = [0] * len(size)  # the greatest need of the merges so far that take a token from the right
+        left_of = [0] * len(size)  # and from the left
+        for (u, v), t in self.pairs.items():  # in the order of merges
+            own = max(made[u] - size[v], made[v], right_of[v], left_of[u] - size[v], 0)
+            made[t] = max(made[t], own)
+            right_of[u] = max(right_of[u], size[v] + own)
+            left_of[v] = max(left_of[v], own)
+        return [max(need) for need in zip(made, right_of, left_of)]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token a can be followed by token b: no merge across their border comes before
@@ -154,38 +175,6 @@ class Merges:
             else:  # of equal merges the left one is made first, so the right one is undone first
                 bound, b = ob + 1, left[b]
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Tokens of a whole pretoken: the longest token that fits what stands before it, with
-        steps back where none does."""
-        whole = self.id_of.get(piece)
-        if whole is not None:
-            return [whole]
-        n, id_of, lens, ok = len(piece), self.id_of, self.lens, self._ok
-        dead: set[int] = set()
-        out: list[int] = []
-        starts: list[int] = []
-        pos, below = 0, n + 1  # the next token has to be shorter than below
-        while pos < n:
-            last = out[-1] if out else -1
-            for m in lens.get(piece[pos : pos + 2], (1,)):
-                if m >= below or pos + m > n:
-                    continue
-                t = id_of.get(piece[pos : pos + m])
-                if t is None or (pos + m) in dead:
-                    continue
-                if last < 0 or (ok[(last, t)] if (last, t) in ok else self.compatible(last, t)):
-                    out.append(t)
-                    starts.append(pos)
-                    pos += m
-                    below = n + 1
-                    break
-            else:
-                dead.add(pos)
-                t = out.pop()
-                prev = starts.pop()
-                below, pos = pos - prev, prev
-        return out
-
 
 def _byte_alphabet() -> dict[str, int]:
     """Byte of each character of a byte-level vocabulary: printable bytes stand for themselves, the
@@ -200,82 +189,87 @@ class PieceStream:
 
     def __init__(self, merges: Merges):
         self.m = merges
-        self.tail = b""  # the last max_token_len bytes
-        self.at = 0  # bytes fed
-        self.done = 0  # bytes whose tokens are emitted
-        self.last: dict[int, int] = {}  # end position -> last token of that prefix
+        self.held = b""  # bytes that no emitted token covers
+        self.last = [-1]  # by place in them, the last token of what ends there; -1 where no token of the chain can end
+        self.before = -1  # the token emitted last
+        #: how much is held before tokens are looked for that are final
+        self.most = 2 * (merges.lookahead + merges.max_token_len)
 
     def feed(self, data: bytes) -> list[int]:
-        m, out = self.m, []
-        for k in range(len(data)):
-            self.tail = (self.tail + data[k : k + 1])[-m.max_token_len :]
-            self.at += 1
-            self._step()
-            if self.at - self.done > 4 * m.max_token_len:
-                out += self._stable()
-        return out
-
-    def _step(self) -> None:
-        m, tail, at = self.m, self.tail, self.at
-        for n in (1, *m.end_lens.get(tail[-2:], ())):
-            if n > len(tail) or at - n < self.done:
-                continue
-            t = m.id_of.get(tail[len(tail) - n :])
-            if t is None:
-                continue
-            before = at - n
-            if before == 0:
-                self.last[at] = t
-                return
-            prev = self.last.get(before)
-            if prev is not None and m.compatible(prev, t):
-                self.last[at] = t
-                return
-
-    def _chain(self, end: int) -> list[int]:
-        out = []
-        while end > self.done:
-            out.append(end)
-            end -= len(self.m.bytes_of[self.last[end]])
+        out: list[int] = []
+        for i in range(0, len(data), self.most):
+            self._read(data[i : i + self.most])
+            if len(self.held) > self.most:
+                out += self._final()
         return out
 
-    def _stable(self) -> list[int]:
-        """Emits what the chains of all places where the next token may begin have in common."""
-        low = max(self.done, self.at - self.m.max_token_len + 1)
-        common: set[int] | None = None
-        for end in range(low, self.at + 1):
-            if end == self.done or end in self.last:
-                chain = set(self._chain(end)) if end > self.done else set()
-                common = chain if common is None else common & chain
-                if not common:
-                    return []
-        cut = max(common)
-        return self._emit(cut)
-
-    def _emit(self, cut: int) -> list[int]:
-        ends = self._chain(cut)[::-1]
-        out = [self.last[e] for e in ends]
-        keep = self.last[cut]
-        self.last = {e: t for e, t in self.last.items() if e > cut}
-        self.last[cut] = keep
-        self.done = cut
+    def _read(self, data: bytes) -> None:
+        m, last = self.m, self.last
+        held = self.held = self.held + data
+        id_of, ends, ok, first = m.id_of, m.end_lens, m._ok, self.before
+        for end in range(len(last), len(held) + 1):
+            found = -1
+            for n in ends.get(held[max(end - 2, 0) : end], (1,)):
+                start = end - n
+                if start < 0:
+                    break
+                t = id_of.get(held[start:end])
+                if t is None:
+                    continue
+                prev = last[start] if start else first
+                if prev < 0:
+                    if start:
+                        continue
+                    found = t
+                    break
+                if ok[prev, t] if (prev, t) in ok else m.compatible(prev, t):
+                    found = t
+                    break
+            last.append(found)
+
+    def _chain(self) -> list[tuple[int, int]]:
+        """(end, token) from the first byte held to the last one read."""
+        out, end, size, last = [], len(self.held), self.m.bytes_of, self.last
+        while end:
+            t = last[end]
+            out.append((end, t))
+            end -= len(size[t])
+        return out[::-1]
+
+    def _final(self) -> list[int]:
+        """Emits the tokens that what is still to come can't change."""
+        n, out, cut = len(self.held), [], 0
+        for end, t in self._chain():
+            if n - end < self.m.ahead[t]:
+                break
+            out.append(t)
+            cut = end
+        if out:
+            self.held, self.last, self.before = self.held[cut:], [-1, *self.last[cut + 1 :]], out[-1]
         return out
 
     def close(self) -> list[int]:
-        return self._emit(self.at) if self.at > self.done else []
+        out = [t for _, t in self._chain()]
+        self.held, self.last, self.before = b"", [-1], -1
+        return out
 
 
 class _Memo(dict):
-    """Packed ids by pretoken."""
+    """Packed ids by pretoken, made by the transducer."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
+        self.made = 0  # pretokens that went through the transducer
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        out = self[piece] = pack(self.merges.encode(piece.encode("utf-8", "surrogatepass")))
+        self.made += 1
+        stream = PieceStream(self.merges)
+        out = pack(stream.feed(piece.encode("utf-8", "surrogatepass")) + stream.close())
+        if len(piece) <= MEMO_LENGTH:
+            if len(self) > MEMO_ENTRIES:
+                self.clear()
+            self[piece] = out
         return out
 
 
@@ -289,7 +283,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         out = b"".join(map(self.memo.__getitem__, self.findall(" " + word)))
-        if len(word) <= 48:
+        if len(word) <= MEMO_LENGTH:
             if len(self) > MEMO_ENTRIES:
                 self.clear()
             self[word] = out
@@ -331,42 +325,38 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def packed(self, text: str, block: int = BLOCK, long_piece: int = LONG_PIECE) -> bytes:
-        """Ids of a text as little-endian int32. Long texts go through in blocks."""
-        if len(text) <= block:
-            head, *rest = _words(text)
-            if max(map(len, rest), default=0) <= long_piece and len(head) <= long_piece:
-                return b"".join(map(self.memo.__getitem__, self.pattern.findall(head))) + b"".join(map(self.words.__getitem__, rest))
-            pieces = self.pattern.findall(text)
-            if len(text) <= long_piece or max(map(len, pieces), default=0) <= long_piece:
-                return b"".join(map(self.memo.__getitem__, pieces))
-        blocks = (text[i : i + block] for i in range(0, len(text), block))
-        return b"".join(self.stream(blocks, long_piece))
-
-    def stream(self, blocks: Iterable[str], long_piece: int = LONG_PIECE) -> Iterator[bytes]:
-        """Packed ids as soon as they are stable, of a text that comes in blocks."""
-        for part in stream_pretokens(blocks, self.pattern, long_piece):
-            if isinstance(part, str):
-                yield self.memo[part] if len(part) <= long_piece else pack(self._long([part]))
-            else:
-                yield pack(self._long(part))
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian int32."""
+        head, *rest = _words(text)
+        return b"".join(map(self.memo.__getitem__, self.pattern.findall(head))) + b"".join(map(self.words.__getitem__, rest))
+
+    def stream(self, blocks: Iterable[str], part: int = PART) -> Iterator[bytes]:
+        """Packed ids as soon as they are final, of a text that comes in blocks, with constant memory: of
+        a run that is longer than ``part`` parts are read as they come."""
+        run = None
+        for piece, ends in stream_pretokens(blocks, self.pattern, part):
+            if run is None and ends:
+                yield self.memo[piece]
+                continue
+            run = run or PieceStream(self.merges)
+            yield pack(run.feed(piece.encode("utf-8", "surrogatepass")))
+            if ends:
+                yield pack(run.close())
+                run = None
 
-    def _long(self, parts: Iterable[str]) -> list[int]:
-        s, out = PieceStream(self.merges), []
-        for p in parts:
-            out += s.feed(p.encode("utf-8", "surrogatepass"))
-        return out + s.close()
+    def ids(self, text: str) -> list[int]:
+        return memoryview(self.packed(text)).cast("i").tolist()
 
     def count(self, text: str) -> int:
         return len(self.packed(text)) // 4
 
 
-def stream_pretokens(blocks: Iterable[str], pat: re.Pattern, long_piece: int) -> Iterator[str | list[str]]:
-    """Pretokens of a text that comes in blocks. A run longer than ``long_piece`` is given as the
-    list of its parts."""
+def stream_pretokens(blocks: Iterable[str], pat: re.Pattern, part: int = PART) -> Iterator[tuple[str, bool]]:
+    """(part, whether the pretoken ends with it) of a text that comes in blocks. Only runs longer than
+    ``part`` come in several parts."""
     k = classes()
     kinds = [re.compile(f"[{k['L']}]*"), re.compile(f"[{k['N']}]*"), re.compile(f"[^{k['W']}{k['L']}{k['N']}]*"), re.compile(f"[{k['W']}]*")]
-    buf, run, kind = "", [], None
+    buf, kind = "", None
     for block in blocks:
         buf += block
         while True:
@@ -375,12 +365,11 @@ def stream_pretokens(blocks: Iterable[str], pat: re.Pattern, long_piece: int) ->
                 white = kind is kinds[3]
                 if end < len(buf) - 1:
                     keep = end - 1 if white and end else end
-                    run.append(buf[:keep])
-                    yield run
-                    buf, run, kind = buf[keep:], [], None
+                    yield buf[:keep], True
+                    buf, kind = buf[keep:], None
                 else:
                     keep = max(0, end - 1)
-                    run.append(buf[:keep])
+                    yield buf[:keep], False
                     buf = buf[keep:]
                     break
             pos, last = 0, None
@@ -388,16 +377,16 @@ def stream_pretokens(blocks: Iterable[str], pat: re.Pattern, long_piece: int) ->
                 if m.end() > len(buf) - PRE_LOOKAHEAD:
                     last = m
                     break
-                yield m.group()
+                yield m.group(), True
                 pos = m.end()
             buf = buf[pos:]
-            if last is not None and len(buf) > long_piece + PRE_LOOKAHEAD:
+            if last is not None and len(buf) > part + PRE_LOOKAHEAD:
                 body = buf[1:] if buf[0] == " " and last.end() - last.start() > 1 and not buf[1] in " \n\t" else buf
-                kind = next((x for x in kinds if x.match(body).end() > long_piece), None)
+                kind = next((x for x in kinds if x.match(body).end() > part), None)
                 if kind is not None:
-                    head = len(buf) - len(body)
-                    run = [buf[:head]] if head else []
-                    buf = buf[head:]
+                    if len(body) < len(buf):
+                        yield buf[0], False
+                    buf = body
                     continue
             break
     if kind is not None:
@@ -405,11 +394,10 @@ def stream_pretokens(blocks: Iterable[str], pat: re.Pattern, long_piece: int) ->
         end = kind.match(buf).end()
         if kind is kinds[3] and 0 < end < len(buf):
             end -= 1
-        run.append(buf[:end])
-        yield run
+        yield buf[:end], True
         buf = buf[end:]
     for m in pat.finditer(buf):
-        yield m.group()
+        yield m.group(), True
 
 
 class Decoder:

@@ -2,12 +2,17 @@
 
 A recursive hierarchy of separators: a text that is too long is cut at sections, a part that is
 still too long at paragraphs, then at sentences, words and, last, characters. The parts are packed
-greedily, and each piece begins with the last ``overlap`` tokens (whole pretokens, so a few more
-may be shared) of the one before. A piece is encoded by itself before it is given out and made
-smaller if it should exceed the limit, so the limit always holds.
+greedily, and each piece begins with the last ``overlap`` tokens of the one before: its start is the
+character whose text up to the cut has exactly so many tokens by itself, inside a word if need be.
+Where tokens end inside characters no such place may exist; then the next one before it is taken,
+which shares the fewest tokens more. A piece is encoded by itself before it is given out and made
+smaller if it should exceed the limit, so the limit always holds, but for a single character of
+more tokens than the limit; where one leaves no room for the whole overlap the overlap is shorter.
+An overlap that isn't less than the limit is an error.
 
 Null and empty texts and those within the limit have one piece, or none if there is no text; a
-text of n bytes has at most n tokens, so short ones are passed by without encoding.
+text of n bytes has at most n tokens, so short ones are passed by without encoding. Time grows in
+proportion to the text.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ class Cuts:
         for piece in enc.pieces(text):
             if pos:
                 self._add(pos, count, self._level(text, pos, prev, piece, sections))
-            n = len(enc.memo[piece]) // 4 if len(piece) <= 4096 else enc.count(piece)
+            n = len(enc.memo[piece]) // 4
             for size, tokens in self._parts(enc, piece, n, unit):
                 pos += size
                 count += tokens
@@ -67,11 +72,8 @@ class Cuts:
         """A pretoken of many tokens in parts of a few characters."""
         if n <= unit or len(piece) == 1:
             return [(len(piece), n)]
-        half = len(piece) // 2
-        out = []
-        for part in (piece[:half], piece[half:]):
-            out += Cuts._parts(enc, part, enc.count(part), unit)
-        return out
+        size = max(1, len(piece) * unit // (2 * n))
+        return [(len(part), enc.count(part)) for part in (piece[i : i + size] for i in range(0, len(piece), size))]
 
     @staticmethod
     def _level(text: str, pos: int, prev: str, piece: str, sections: set[int]) -> int:
@@ -83,7 +85,7 @@ class Cuts:
             k = pos - len(prev)
         else:
             k = pos
-        last = text[:k][-3:].rstrip(CLOSERS)[-1:] if k else ""
+        last = text[max(0, k - 3) : k].rstrip(CLOSERS)[-1:]
         if last and last in ENDS and (piece[:1].isspace() or prev.isspace() or last not in ".!?…"):
             return SENTENCE
         return WORD
@@ -101,48 +103,71 @@ def _units(cuts: Cuts, lo: int, hi: int, level: int, room: int) -> Iterator[int]
             start = k
 
 
+def _shared(enc: Encoder, cuts: Cuts, low: int, end: int, overlap: int) -> int:
+    """Where the piece begins that follows one of text[low:], cut at cuts.at[end]."""
+    text, stop = cuts.text, cuts.at[end]
+    if not overlap:
+        return stop
+    k = max(bisect_right(cuts.before, cuts.before[end] - overlap, 0, end + 1) - 1, 0)
+    while True:
+        start = max(cuts.at[k], low)
+        tokens = enc.ids(text[start:stop])
+        if len(tokens) >= overlap or start == low:
+            break
+        k -= 1  # white space at the cut may need fewer tokens than before a word
+    if len(tokens) <= overlap:
+        return start
+    size = enc.merges.bytes_of
+    aside = b"".join(size[t] for t in tokens[: len(tokens) - overlap])
+    near = start + len(aside.decode("utf-8", "ignore"))
+    found = (len(tokens), -start)
+    for c in (near, *(near + d for k in range(1, 9) for d in (-k, k))):
+        if start < c < stop:
+            n = enc.count(text[c:stop])
+            if n == overlap:
+                return c
+            if n > overlap:
+                found = min(found, (n, -c))
+    return -found[1]
+
+
 def pieces(enc: Encoder, text: str | None, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces of a text, in code points."""
+    overlap = max(0, overlap)
+    if limit < 1 or overlap >= limit:
+        raise ValueError("the overlap has to be less than the limit")
     if not text:
         return []
-    if len(text) * 4 <= limit or len(text.encode("utf-8", "surrogatepass")) <= limit:
-        return [(0, len(text), enc.count(text))]
     n = enc.count(text)
     if n <= limit:
         return [(0, len(text), n)]
-    overlap = max(0, min(overlap, limit // 2))
-    unit = max(1, min(32, limit // 8))
-    cuts = Cuts(enc, text, unit)
-    ends = list(_units(cuts, 0, len(cuts.at) - 1, SECTION, max(1, limit - overlap - unit)))
+    room = limit - overlap
+    cuts = Cuts(enc, text, max(1, min(32, room // 4)))
+    at, before = cuts.at, cuts.before
+    ends = list(_units(cuts, 0, len(at) - 1, SECTION, room))
     out: list[tuple[int, int, int]] = []
-    start, done, k = 0, 0, 0  # cuts where the piece starts, and up to which the text is given out
-    while k < len(ends):
+    start, done, k = 0, 0, 0  # where the piece begins, the cut up to which the text is given out, the next unit
+    held = 0  # tokens of text[start:at[done]]
+    while done < len(at) - 1:
         last = k
-        while last + 1 < len(ends) and cuts.before[ends[last + 1]] - cuts.before[start] <= limit:
+        while last + 1 < len(ends) and before[ends[last + 1]] - before[done] + held <= limit:
             last += 1
-        end, size = ends[last], enc.count(text[cuts.at[start] : cuts.at[ends[last]]])
-        while size > limit:  # rare: encoded by itself it is longer
+        end = ends[last]
+        while (size := enc.count(text[start : at[end]])) > limit:  # encoded by itself it is longer
             if last > k:
                 last -= 1
                 end = ends[last]
-            elif start < done:
+            elif end - done > 1:
+                end = max(done + 1, min(end - 1, bisect_right(before, before[done] + limit - held, done, end) - 1))
+            elif start < at[done]:
                 start += 1
-            elif end - start > 1:
-                end = start + (end - start) // 2
             else:
                 break
-            size = enc.count(text[cuts.at[start] : cuts.at[end]])
-        out.append((cuts.at[start], cuts.at[end], size))
-        done = end
-        k = bisect_right(ends, end, lo=k)
-        if ends[k - 1 if k else 0] != end and k < len(ends) and ends[k] == end:
+        out.append((start, at[end], size))
+        start, done = _shared(enc, cuts, start, end, overlap), end
+        held = enc.count(text[start : at[end]])
+        while k < len(ends) and ends[k] <= end:
             k += 1
-        start = bisect_right(cuts.before, cuts.before[end] - overlap) - 1
-        start = min(max(start, 0), end)
-        while overlap and start > 0 and enc.count(text[cuts.at[start] : cuts.at[end]]) < overlap:
-            start -= 1  # white space at a piece's end may need fewer tokens than before a word
-        if overlap == 0:
-            start = end
     return out
 
 
@@ -155,7 +180,7 @@ def split_oversized(df: DataFrame, limit: int, overlap: int, key: str = "doc_id"
         for b in batches:
             rows = ([], [], [], [], [])
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not t or len(t) * 4 <= limit:
+                if not t or len(t) * 4 <= limit or len(t.encode("utf-8", "surrogatepass")) <= limit:
                     continue
                 parts = pieces(enc, t, limit, overlap)
                 if len(parts) > 1:
