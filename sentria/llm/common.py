@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentria.sources import read_table, with_columns_only
@@ -26,6 +27,15 @@ def table(spark: SparkSession, base: str, name: str, *columns: str, distinct: bo
     return with_columns_only(read_table(spark, base, name), *columns, distinct=distinct)
 
 
+def labelled(spark: SparkSession, base: str, per_language: int) -> list[tuple[str, str]]:
+    """(lang, text) of eval_items, rows labelled with their language and known to be ordinary text: of each
+    language, wherever it begins, the texts up to the one that reaches per_language characters."""
+    rows = table(spark, base, "eval_items", "item_id", "lang", "text").where("lang is not null and text is not null")
+    before = W.partitionBy("lang").orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("held", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("held") < per_language)
+    return [(r["lang"], r["text"]) for r in rows.orderBy("lang", "item_id", "text").select("lang", "text").toLocalIterator()]
+
+
 def unique_by(df: DataFrame, *key: str) -> DataFrame:
     """Rows repeated in df, once. Long texts aren't shuffled for it unless a key does repeat: only
     the keys are counted first, in one narrow aggregate."""

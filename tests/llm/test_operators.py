@@ -42,12 +42,38 @@ def test_residue(spark):
     assert found == set(range(len(SLOTS) + len(MESSAGES))), [texts[i] for i in found ^ set(range(len(SLOTS) + len(MESSAGES)))]
 
 
+def test_templates_in_a_leaf(spark):
+    """Messages that share a leaf but not their template don't share a verdict; members of one do."""
+    texts = ["The server took too long to respond.", "The server took too few orders tonight."]
+    for many in ([0], [0, 1], [0] + [1] * 9, [0] * 9 + [1]):
+        rows = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(many)], "id int, text string")
+        found = {r["id"] for r in residue.residue(rows, "id").collect()}
+        assert {i for i, k in enumerate(many) if k == 0} <= found
+
+
+def test_template_decides(spark):
+    """A member that alone would pass as ordinary is residue by its template, once other documents show it."""
+    model = residue.classes([])
+    rng = random.Random(11)
+    words = ["old", "friendship", "lamp", "kettle", "harbour", "painted", "laughed", "stadium", "waited", "aunt", "courage"]
+    message = "The server could not find {} {} {} in time"
+    odd = next(x for _ in range(2000) if residue.CANDIDATE <= model.score(x := message.format(*rng.choices(words, k=3))) < residue.BAR - 0.02)
+    alike = [message.format(*(f"{c}{i}" for c in "abc")) for i in range(6)]
+    alone = spark.createDataFrame([(99, odd)], "id int, text string")
+    assert residue.residue(alone, "id").count() == 0
+    rows = alone.union(spark.createDataFrame(list(enumerate(alike)), "id int, text string"))
+    assert {r["id"] for r in residue.residue(rows, "id").collect()} == {*range(6), 99}
+    _, templates = residue.mined(residue.candidates(rows, ("id",), model), model)
+    got = templates.collect()
+    assert [(r["template"], r["n"]) for r in got] == [("the server could not find <> <> <> in time", 7)]
+
+
 MESSAGE = "Answer the question below.\n\nQuestion: Should every school own a paper mirror? Take a position and defend it."
 
 
 @pytest.fixture(scope="module")
-def languages():
-    return pairs.Languages([("en", "The school should have a mirror and the people were there when we left the house in the morning. " * 5), ("es", "La escuela tiene un espejo y la gente estaba allí cuando salimos de la casa por la mañana. " * 5), ("de", "Die Schule hat einen Spiegel und die Leute waren da, als wir am Morgen aus dem Haus gingen. " * 5)])
+def judge():
+    return pairs.Judge([("en", "The school should have a mirror and the people were there when we left the house in the morning. " * 5), ("es", "La escuela tiene un espejo y la gente estaba allí cuando salimos de la casa por la mañana. " * 5), ("de", "Die Schule hat einen Spiegel und die Leute waren da, als wir am Morgen aus dem Haus gingen. " * 5)])
 
 
 @pytest.mark.parametrize(
@@ -59,16 +85,29 @@ def languages():
         ("La escuela tiene un espejo y la gente estaba en la casa. Cuando salimos por la mañana, la gente estaba allí.", "language"), ("我觉得纪律开始于努力。队长在码头边拆开了地图。", "language"),
         ("Every school should have a mirror. The people were there when we left the house.", None),
         ("The people were there when we left the house in the morning. La casa.", None),
+        ("I'm sorry, but I cannot write this essay. " + "The people were there when we left the house. " * 15, "refusal"),
+        ("Die Leute waren da. La gente estaba en la casa. Wir gingen aus dem Haus.", "language"),
+        ("Школа должна иметь зеркало, и люди были там.", "language"),
     ],
 )
-def test_defects(languages, answer, what):
-    assert pairs.defect(answer, MESSAGE, languages) == what
+def test_defects(judge, answer, what):
+    assert pairs.defect(answer, MESSAGE, judge) == what
+
+
+def test_posteriors(judge):
+    """Posteriors of both sides are compared: halves of two languages agree by a half with either."""
+    of = judge.languages
+    half = "The people were there when we left the house. Die Leute waren da, als wir gingen."
+    assert 0.4 < of.agreement("The school should have a mirror", half) < 0.7
+    assert of.agreement("", half) == of.agreement("the school", "12 ...") == 1.0
+    assert sum(of.posteriors("casa house Haus")[0].values()) == pytest.approx(1.0)
+    assert of.agreement("学校应该有镜子", "学校应该有镜子") == 1.0 and of.agreement("学校应该有镜子", "がっこうにはかがみがある") == 0.0
 
 
 def test_late_language(spark, tmp_path):
     """A language that begins after thousands of items of another is known too."""
     items = [(i, "b", "en", f"the lamp near the harbour {i}") for i in range(6_000)] + [(7_000 + i, "b", "de", "die Lampe neben dem Hafen und der Garten") for i in range(3)]
-    model = pairs.fitted(spark, t.write(spark, str(tmp_path), {"eval_items": items}))
+    model = pairs.fitted(spark, t.write(spark, str(tmp_path), {"eval_items": items})).languages
     assert model.names == ["de", "en"] and model.of("neben dem Garten") == "de"
 
 
