@@ -2,14 +2,21 @@
 
 An answer is compared with the message that asked for it: with the whole message, and with its last
 part (the question, or the paragraph to rework). Each defective pair has one defect, the first of:
-``empty``, ``refusal``, ``copy`` (at most one word in seven changed, by an exact bit-parallel distance),
-``language`` (character n-gram naive Bayes: most words of the answer stand in sentences whose
-posterior is another language than the question's) and ``truncated`` (problem 5's endings, by the
-likelihood of how texts end). Cases of problem 1 are left out.
+``empty``, ``copy`` (at most one word in seven changed, by an exact bit-parallel distance),
+``refusal`` (one of the answer's first sentences declines, by a model of wording that is trained on
+examples made by rule; the answer's length doesn't matter), ``language`` and ``truncated`` (problem
+5's endings, by the likelihood of how texts end). Cases of problem 1 are left out.
+
+``language``: character n-gram naive Bayes gives posteriors of the languages for the question and
+for each sentence of the answer. The answer's share of a language is the mean of its sentences'
+posteriors, by letters; the two agree by the sum over languages of posterior times share, and an
+answer that agrees by less than ``AGREE`` is in another language. A text mostly in letters of a
+script is compared among the labelled languages of that script; where there are none, the script
+stands for its languages.
 
 The language model is fitted on labelled rows: the held-out items, and at most ``PER_LANGUAGE``
-characters of each language, whatever the corpus' size; scripts that no labelled row has are told by
-their letters. Jobs repeated count once; a chunk with several messages is compared with each.
+characters of each language, whatever the corpus' size. Jobs repeated count once; a chunk with
+several messages is compared with each.
 """
 
 from __future__ import annotations
@@ -21,39 +28,39 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sentria.llm import residue, truncation
-from sentria.llm.common import WORD, table, within
+from sentria.llm import examples, residue, truncation
+from sentria.llm.common import WORD, labelled, table, within
+from sentria.llm.wording import Wording, tokens
 from sentria.sources import written
 
 PER_LANGUAGE = 20_000
 N = 3
 
-#: How refusals begin, in lower case.
-REFUSALS = (
-    r"i(?:[’']m| am) (?:sorry|afraid)\b", r"i (?:cannot|can[’']t|can not|am unable|am not able|[’']m unable|am not comfortable|must decline|have to decline|must refuse|won[’']t be able|do not feel comfortable|do not have lived experience|have to pass|have to stop|don[’']t have lived experience)", r"i(?:[’']m| am) not (?:comfortable|able|going to be able)",
-    r"sorry[!,.]", r"unfortunately,", r"regrettably,", r"as an? (?:\w+ )?(?:ai|language model|assistant|\w+ writing helper)\b", r"i (?:apologi[sz]e|appreciate the question|understand the request|must be honest|regret)", r"(?:it|this) (?:would be against|goes against|is against) my guidelines", r"this is something i must decline", r"nothing i could offer", r"with respect,", r"thanks for sharing this\.", r"hmm, i have to stop",
-    r"lo siento\b", r"lamentablemente\b", r"no puedo (?:continuar|ayudar|escribir|responder)", r"como (?:modelo de lenguaje|asistente|ia)\b", r"me temo que",
-    r"es tut mir leid", r"leider\b", r"als (?:sprachmodell|ki)\b", r"diese (?:aufgabe|anfrage) kann ich nicht", r"ich kann (?:dir|ihnen|dabei|diese)?.{0,20}nicht helfen",
-    r"je suis désolée?", r"malheureusement\b", r"en tant que (?:modèle|ia|assistant)", r"je ne peux pas", r"je préfère ne pas", r"désolée?[,.!]",
-)
-#: What a refusal says, in lower case.
-DECLINES = re.compile(
-    r"(?:can ?not|can[’']?t|unable|not able|won[’']?t be able|not comfortable|decline|refuse|against my guidelines|do not have lived experience|don[’']?t have lived experience|have to pass|would be appropriate|not possible|no puedo|no me es posible|rechazar|no es posible|nicht helfen|darf ich .{0,40}nicht|ablehnen|nicht übernehmen|kann ich .{0,40}nicht|kann .{0,30}nicht|ne peux pas|refuser|impossible|ne pas traiter|ne suis pas en mesure)"
-)
-_REFUSAL = re.compile(r"^[\W_]*(?:hmm, |well, |oh, )?(?:" + "|".join(REFUSALS) + ")")
+AGREE = 0.5
+#: log-odds from which a sentence declines, and the sentences at an answer's start that are asked
+DECLINES = 0.5
+OPENING = 3
+
 _PART = re.compile(r"(?:^|[\s.])(?:question|task|text|topic|prompt|paragraph|tema|pregunta|texto|párrafo|frage|thema|text|absatz|sujet|question|texte|paragraphe|tâche|aufgabe|tarea)\s?:\s*", re.IGNORECASE)
 _SENTENCE = re.compile(r"[.!?…。！？।؟]+[\"'”’»)\]」』]*\s*|\n+")
 
-#: Scripts that say the language.
-SCRIPTS = (("hi", "ऀ-ॿ"), ("ar", "؀-ۿ"), ("th", "ก-๛"), ("ja", "぀-ヿ"), ("zh", "一-鿿"), ("ko", "가-힣"), ("ru", "Ѐ-ӿ"), ("el", "Ͱ-Ͽ"), ("he", "א-ת"))
+#: Scripts by their letters. Kana tell Japanese from Chinese.
+SCRIPTS = (("Latin", "a-zÀ-ɏ"), ("Cyrillic", "Ѐ-ӿ"), ("Greek", "Ͱ-Ͽ"), ("Hebrew", "א-ת"), ("Arabic", "؀-ۿ"), ("Devanagari", "ऀ-ॿ"), ("Thai", "ก-๛"), ("Kana", "぀-ヿ"), ("Han", "一-鿿"), ("Hangul", "가-힣"))
 _SCRIPT = [(name, re.compile(f"[{r}]")) for name, r in SCRIPTS]
 _LETTERS = re.compile(r"[^\W\d_]+")
-_ANY_LETTER = re.compile(r"[^\W\d_]")
-_ASCII_LETTER = re.compile(r"[a-zA-Z]")
-_LATIN = re.compile(r"[a-zA-ZÀ-ɏ]")
+
+
+def script(text: str) -> tuple[str, int]:
+    """The script of most of a text's letters, and how many of them there are; text in lower case."""
+    if not text or max(text) < "\u0250":
+        return "Latin", len("".join(_LETTERS.findall(text)))
+    n = {name: len(p.findall(text)) for name, p in _SCRIPT}
+    if n["Kana"]:
+        n["Kana"] += n.pop("Han")
+    name = max(n, key=lambda x: n[x] * (3 if x in ("Han", "Kana") else 1))
+    return name, n[name]
 
 
 class Languages:
@@ -62,14 +69,21 @@ class Languages:
 
     def __init__(self, rows: list[tuple[str, str]]):
         counts: dict[str, Counter] = {}
+        written_in: dict[str, Counter] = {}
         for lang, text in rows:
+            low = text.lower()
             own = counts.setdefault(lang, Counter())
-            for w in _LETTERS.findall(text.lower()):
+            name, n = script(low)
+            written_in.setdefault(lang, Counter())[name] += n
+            for w in _LETTERS.findall(low):
                 own.update(self.grams(w))
         space = len(set().union(*counts.values())) + 1 if counts else 1
         self.names = sorted(counts)
+        #: by script, the places of its languages in names
+        self.of_script: dict[str, list[int]] = {}
         self.weight = []
-        for lang in self.names:
+        for k, lang in enumerate(self.names):
+            self.of_script.setdefault(written_in[lang].most_common(1)[0][0], []).append(k)
             total = sum(counts[lang].values()) + 0.2 * space
             self.weight.append(({g: math.log((n + 0.2) / total) for g, n in counts[lang].items()}, math.log(0.2 / total)))
         self.memo: dict[str, tuple[float, ...]] = {}
@@ -88,40 +102,59 @@ class Languages:
             known = self.memo[w] = tuple(sum(p.get(g, rest) for g in grams) for p, rest in self.weight)
         return known
 
+    def posteriors(self, text: str) -> tuple[dict[str, float], int]:
+        """The languages' posteriors for a text, and its letters; none without letters."""
+        low = text.lower()
+        name, n = script(low)
+        if not n:
+            return {}, 0
+        among = self.of_script.get(name)
+        if not among:
+            return {name: 1.0}, n
+        if len(among) == 1:
+            return {self.names[among[0]]: 1.0}, n
+        sums = [sum(c) for c in zip(*map(self.word, _LETTERS.findall(low)))]
+        top = max(sums[k] for k in among)
+        odds = {self.names[k]: math.exp(max(sums[k] - top, -700.0)) for k in among}
+        total = sum(odds.values())
+        return {k: v / total for k, v in odds.items()}, n
+
     def of(self, text: str) -> str | None:
         """The language of a text with the greatest posterior; None without letters."""
-        if text and max(text) >= "\u0250":  # letters beyond Latin, or signs
-            latin = len(_LATIN.findall(text))
-            by_script = {name: len(p.findall(text)) for name, p in _SCRIPT}
-            name, n = max(by_script.items(), key=lambda x: x[1])
-            if name == "zh" and by_script["ja"]:
-                name = "ja"
-            if n * 2 > latin and n:  # these letters hold more than Latin ones do
-                return name
-        words = _LETTERS.findall(text.lower())
-        if not words or not self.names:
-            return None
-        sums = [sum(c) for c in zip(*map(self.word, words))]
-        return self.names[max(range(len(sums)), key=sums.__getitem__)]
-
-    def shares(self, text: str) -> Counter:
-        """Weight of each language in a text, sentence by sentence, by letters; a letter of a script
-        without spaces weighs as much as three. Names in other letters don't count."""
-        out: Counter = Counter()
-        for part in _SENTENCE.split(text):
-            if len(part) >= 2 and (lang := self.of(part)):
-                n = len(_ANY_LETTER.findall(part)) if lang in self.names else len(_ANY_LETTER.findall(part)) - len(_ASCII_LETTER.findall(part))
-                out[lang] += n * (3 if lang in ("zh", "ja") else 1)
-        return out
-
-
-def fitted(spark: SparkSession, base: str) -> Languages:
-    """The model, fitted on eval_items: of each language, wherever it begins, the texts up to the one
-    that reaches PER_LANGUAGE characters."""
-    rows = table(spark, base, "eval_items", "item_id", "lang", "text").where("lang is not null and text is not null")
-    before = W.partitionBy("lang").orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("held", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("held") < PER_LANGUAGE)
-    return Languages([(r["lang"], r["text"]) for r in rows.select("lang", "text").toLocalIterator()])
+        found, _ = self.posteriors(text)
+        return max(found, key=found.__getitem__) if found else None
+
+    def agreement(self, asked: str, answer: str) -> float:
+        """How far two texts agree in language: 1 where either has no letters. Each sentence of the answer
+        counts by its letters; those of a script without spaces count as three."""
+        wanted, _ = self.posteriors(asked)
+        same = total = 0.0
+        for part in _SENTENCE.split(answer):
+            if len(part) >= 2:
+                got, n = self.posteriors(part)
+                if got:
+                    n *= 3 if next(iter(got)) in ("Han", "Kana") else 1
+                    total += n
+                    same += n * sum(p * wanted.get(k, 0.0) for k, p in got.items())
+        return same / total if total and wanted else 1.0
+
+
+class Judge:
+    """Everything that is fitted: languages and the wording of refusals."""
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        self.languages = Languages(rows)
+        self.declines = Wording(examples.refusals(), examples.accepted([s for _, t in rows for s in residue.segments(t)]))
+
+    def refuses(self, answer: str) -> bool:
+        """Whether one of an answer's first sentences declines the task."""
+        parts = [p for p in _SENTENCE.split(answer) if any(map(str.isalpha, p))]
+        return any(self.declines.score(tokens(p)) >= DECLINES for p in parts[:OPENING])
+
+
+def fitted(spark: SparkSession, base: str) -> Judge:
+    """The models, fitted on eval_items: at most PER_LANGUAGE characters of each language."""
+    return Judge(labelled(spark, base, PER_LANGUAGE))
 
 
 def question(message: str) -> str:
@@ -153,28 +186,14 @@ def is_copy(answer: str, message: str) -> bool:
     return False
 
 
-def is_refusal(text: str) -> bool:
-    """Whether an answer declines: it begins like a refusal, or says so, and is short."""
-    low = text.strip().lower()
-    if len(norm(low)) > 70:
-        return False
-    return bool(_REFUSAL.match(low) and DECLINES.search(low)) or bool(DECLINES.search(low) and re.search(r"(?:consult your teacher|let me know if another topic|anything else you|you may want to|i hope you understand|perhaps i can help|writing it yourself|prueba con otro tema|consulta|wähle bitte ein|frag bitte|demandez à votre|another topic|this assignment|this request|that request|this essay for you)", low))
-
-
-def defect(answer: str | None, message: str, model: Languages) -> str | None:
+def defect(answer: str | None, message: str, judge: Judge) -> str | None:
     if answer is None or not any(c.isalnum() for c in answer):
         return "empty"
-    if is_refusal(answer):
-        return "refusal"
     if is_copy(answer, message):
         return "copy"
-    asked = model.of(question(message))
-    if asked:
-        shares = model.shares(answer)
-        total = sum(shares.values())
-        if total and (total - shares[asked]) * 2 > total:
-            return "language"
-    return None
+    if judge.refuses(answer):
+        return "refusal"
+    return "language" if judge.languages.agreement(question(message), answer) < AGREE else None
 
 
 def jobs(spark: SparkSession, base: str) -> DataFrame:
@@ -199,7 +218,7 @@ def _residue(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    rank = F.when(F.col("defect") == "empty", 0).when(F.col("defect") == "refusal", 1).when(F.col("defect") == "copy", 2).when(F.col("defect") == "language", 3).otherwise(4)
+    rank = F.when(F.col("defect") == "empty", 0).when(F.col("defect") == "copy", 1).when(F.col("defect") == "refusal", 2).when(F.col("defect") == "language", 3).otherwise(4)
     chunks = written(truncation.all_chunks(spark, base), "chunks")
     pairs = compared(spark, base, chunks)
     cuts = truncation.cut(chunks, truncation.KEY, truncation.GROUP).where("cut").select("src", "doc_id", "chunk_idx").distinct().withColumn("is_cut", F.lit(True))
