@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sentria.sources import read_table, with_columns_only
+from sentria.sources import read_table, with_columns_only, written
 
 #: Ranges of scripts written without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
 UNSPACED = "฀-໿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
@@ -43,6 +43,16 @@ def unique_by(df: DataFrame, *key: str) -> DataFrame:
     return df.distinct() if repeated.take(1) else df
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df's distinct rows. Only rows whose digest recurs are shuffled with their texts: digests are counted
+    first, and those that recur, written, are joined (broadcast if their files are small)."""
+    z = F.xxhash64(*df.columns)
+    again = written(df.select(z.alias("_z")).groupBy("_z").count().where("count > 1").select("_z"), "again")
+    marked = df.withColumn("_z", z)
+    alone = marked.join(again, "_z", "left_anti").select(*df.columns)
+    return alone.unionByName(marked.join(again, "_z", "left_semi").select(*df.columns).distinct())
+
+
 def tidy(c: Column | str) -> Column:
     """Trimmed and lower case; empty becomes null."""
     c = F.col(c) if isinstance(c, str) else c

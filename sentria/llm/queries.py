@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_rates": pairs.p2_rates,
     "p3_found": sentences.p3_found,
     "p3_sentences": sentences.p3_sentences,
+    "p3_stored": sentences.p3_stored,
     "p4_found": repetition.p4_found,
     "p4_shares": repetition.p4_shares,
     "p4_ablation": repetition.p4_ablation,

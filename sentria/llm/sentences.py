@@ -1,14 +1,24 @@
 """Problem 3: sentence boundaries across languages and scripts.
 
-Document-centred: whether a word with a full stop is an abbreviation is read off its unambiguous
-occurrences. One pass counts, in every document, how often each short word has a stop before a
-small letter, a comma or a digit (an abbreviation there) and how often it stands without a stop (a
-word). The document's own counts decide; where it says nothing the corpus' do, over its distinct
-texts (each document's open words are joined to the counts), and then the fixed lists.
-A listed abbreviation is a word if it stands in small letters before small letters. That it is an
-abbreviation doesn't tell whether a sentence ends with it too: before a capital, one that may end a
-sentence doesn't if what follows is a proper name by its unambiguous places, those inside a
-sentence: it mostly has an article there, or it never begins a sentence elsewhere.
+Document-centred: whether a word with a full stop is an abbreviation, and whether a sentence may end
+with it, is read off its occurrences elsewhere. One pass counts for every word how often it stands
+without a stop and how often its stop comes before
+
+* a small letter or a comma: unambiguous, an abbreviation;
+* a capitalised word that the document also has in small letters: unambiguous, a sentence ended;
+* another capitalised word, which may be a name; * a number.
+
+The document's own counts decide; where they say nothing, those of the corpus, over its distinct
+texts, do (``flags``): a word that has inner stops more often than none is an abbreviation, and so is
+one that never goes without its stop and has it before names but not before words that begin
+sentences (titles); one whose stop stands mostly before numbers ends nothing there. A sentence may
+end with an abbreviation that was seen to end some, before a capital, if what follows isn't a proper
+name by its unambiguous places, those inside a sentence: it mostly has an article there, or it never
+begins a sentence elsewhere. Only about words of which neither the document nor the corpus says
+anything are the lists asked, as in a corpus of a few lines. Counts are a table of any size; the few
+words of which it says something are broadcast, or joined to what each document asks for if there
+are more than ``MOST_KNOWN``.
+
 Scripts have their own end marks: those of Chinese, Japanese, Hindi and Arabic end a sentence
 whatever follows, and in Thai a space between Thai letters does.
 
@@ -26,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentria.llm.common import UNSPACED, table
+from sentria.llm.common import MARKS, UNSPACED, once, table
 from sentria.sources import written
 
-#: Abbreviations before names, numbers or explanations; they end no sentence.
+#: Fixed values, the last resort: abbreviations before names, numbers or explanations; they end no sentence.
 TITLES = frozenset("dr mr mrs ms prof st rev hon capt col gen lt sgt sra sr srta d dña dn fr hr mme mlle m mm avda av fig figs no nos nr núm num vol p pp ca approx env art cap ch sec e.g i.e cf vs z.b d.h bzw usw u.a p.ej ej s bd hg hrsg tel डॉ श्री د أ م".split())
-#: Abbreviations that may end a sentence.
+#: Fixed values, the last resort: abbreviations that may end a sentence.
 EITHER = frozenset("etc inc co ltd corp llc jr a.m p.m u.k u.s u.s.a u.n e.u b.c a.d ph.d m.a b.a a.m. p.m. usw u.s.w ago bros dept est".split())
 #: German words before an ordinal number.
 BEFORE_ORDINAL = frozenset("am der die das den dem des im vom zum zur beim jeder jede jedes seit bis ab unser unsere unserem mein meine sein ihr".split())
@@ -46,55 +56,93 @@ OTHER_ENDS = "。！？｡।॥؟۔"
 GOES_ON = frozenset("and or but then across inside outside opposite behind near next above below beside before because of in at on for from with to la en detrás junto frente sobre bajo dentro cerca al y à au sur sous dans devant derrière près et im am auf unter neben hinter vor und aus".split())
 #: Articles and possessives, before a name that doesn't begin a sentence by itself.
 ARTICLES = frozenset("the a an our his her their its my your el la los las un una der die das den dem des ein eine einen le les du".split())
-LISTED = TITLES | EITHER
-MOST_LETTERS = 6
-LEAST_STOPS = 3
+#: what is known of a word with a stop, as bits: an abbreviation; sentences may end with it; it ends nothing before a number; a plain word
+SHORT, MAY_END, COUNTS, PLAIN = 1, 2, 4, 8
+#: occurrences from which the corpus says something, and from which it knows a title
+LEAST_STOPS, LEAST_TITLES = 3, 6
 #: entries of counts held by a task before they are given out
 MOST_HELD = 400_000
+#: words that the corpus knows, up to which they are broadcast
+MOST_KNOWN = 200_000
 
 _MARK = re.compile(f"[{LATIN_ENDS}]+|[{OTHER_ENDS}]+|[\"“«「『(（\\[„‹《【]|(?<=[ก-๛])[ \\u00a0\\u200b]+(?=[ก-๛])|\\n\\s*\\n")
-_EVIDENCE = re.compile(r"(?<![\w.])((?:\w\.)*\w{1,6})(\.?)(?=(\s*)(\S?))")
+_WORDS = re.compile(f"[\\w{MARKS}]+")
+_STOP = re.compile(f"((?:(?<!\\w)\\w\\.)*[\\w{MARKS}]+)\\.(?=(\\s*)(\\S?))")
+_FOUR = re.compile(r"\s*(?:\S+\s+){3}\S")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INSIDE = re.compile(r"([^\W\d_]+),?\s+(?=([^\W\d_]+))")
 _START = re.compile(r"(?:^|[^\W\d_]{4}\.\s+|[!?]\s+|\n\s*)([^\W\d_]+)")
-_STOPPED = re.compile(r"(?<!\w)((?:\w\.)*\w{1,6})\.(?!\w)")
 _PAIRED = re.compile("[\"" + re.escape("".join({*PAIRS, *PAIRS.values()})) + "]")
+_OPENS = "\"“«([„'¿¡「『‘—–"
+_TOGETHER = re.compile(r"[^\W_]{1,11}(?:['’][^\W_]+)?")
 _FACE = re.compile(r"[:;=][-']?$")
 _UNSPACED = re.compile(f"[{UNSPACED}]")
 #: Verbs of speech.
 _SPEECH = re.compile(r"\b(?:asked|shouted|said|cried|called|replied|whispered|wrote|preguntó|gritó|dijo|fragte|rief|sagte|cria|demanda|dit)\b")
 
 
-def evidence(text: str) -> Counter:
-    """(word, True): it stood with a stop inside a sentence; (word, False): without a stop; (word,
-    None): with a stop before what may begin a sentence; (word, "plain"), of listed abbreviations:
-    in small letters without a stop before small letters."""
-    out: Counter = Counter()
-    for m in _EVIDENCE.finditer(text):
-        w, stop, gap, then = m.group(1).lower(), m.group(2), m.group(3), m.group(4)
-        if not w or w.isdigit():
+def evidence(text: str) -> tuple[dict[str, list[int]], Counter]:
+    """By word with a stop, how often that stood before a small letter or comma, a number, what may be a
+    name, and a word that begins a sentence; and how often each word stands in the text at all.
+    Letters with stops in a row count as one too: z. B., a. m."""
+    words = Counter(_WORDS.findall(text))
+    out: dict[str, list[int]] = {}
+    row, row_end = "", -1
+    for m in _STOP.finditer(text):
+        w, gap, then = m.groups()
+        if w[-1].isdigit() and w.isdigit():
             continue
-        if not stop:
-            out[w, False] += 1
-            if w in LISTED and gap and then.islower() and m.group(1).islower():
-                out[w, "plain"] += 1
-        elif then and (then.islower() or then in ",;:" or (then.isdigit() and gap)):
-            out[w, True] += 1
-        elif gap:
-            out[w, None] += 1
-    return out
+        if not then:
+            continue
+        if then.islower() or then in ",;:":
+            kind = 0
+        elif then.isdigit():
+            if not gap:
+                continue
+            kind = 1
+        elif not gap:
+            continue
+        elif then.isupper():
+            follows = _LETTERS.match(text, m.end(2)).group()
+            if len(follows) > 1 and follows.isupper():
+                continue  # in capitals throughout
+            kind = 3 if follows.lower() in words else 2
+        elif then.isalpha() and w[-1].upper() == w[-1].lower():
+            kind = 2  # scripts without case have other end marks
+        else:
+            continue
+        out.setdefault(w, [0, 0, 0, 0])[kind] += 1
+        if len(w) == 1:
+            row = f"{row}.{w}" if row and not text[row_end : m.start()].strip() else w
+            row_end = m.end()
+            if len(row) > 1:
+                out.setdefault(row, [0, 0, 0, 0])[kind] += 1
+        else:
+            row = ""
+    return out, words
 
 
-def abbreviations(own: Counter) -> dict[str, bool]:
+def abbreviations(found: tuple[dict[str, list[int]], Counter]) -> dict[str, int]:
     """What a document's own unambiguous occurrences say."""
+    stops, words = found
     out = {}
-    for (w, stop), n in own.items():
-        if stop is True:
-            words = own.get((w, False), 0)
-            if n > 2 * words and n > own.get((w, None), 0):
-                out[w] = n >= 2 or len(w) <= 3 or w in LISTED
-        elif stop is False and (own.get((w, "plain"), 0) if w in LISTED else n) >= 2 and (w, True) not in own:
-            out[w] = False
+    for w, (inner, number, name, start) in stops.items():
+        bare = words[w] - inner - number - name - start if "." not in w else 0
+        if inner >= (1 if len(w) <= 3 else 2) and inner > 2 * bare and inner >= start:
+            out[w] = SHORT | (MAY_END if start else 0)
+        elif bare >= 2 and not inner and not number:
+            out[w] = PLAIN
+    return out
+
+
+def flags(inner: int, number: int, name: int, start: int, bare: int) -> int:
+    """What a word's occurrences in the corpus say; 0 for a word like any other."""
+    out = 0
+    title = name >= LEAST_STOPS and inner + number + name >= LEAST_TITLES and 20 * start <= name and 20 * bare <= inner + number + name
+    if (inner >= LEAST_STOPS and inner > bare) or title:
+        out = SHORT | (MAY_END if start >= 2 and 10 * start >= name + start else 0)
+    if number >= LEAST_STOPS and number > start + name:
+        out |= COUNTS
     return out
 
 
@@ -149,10 +197,10 @@ def _lower(c: str) -> bool:
     return c.islower()
 
 
-def split(text: str, known: dict[str, bool] | None = None) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text; known: the corpus' abbreviations."""
+def split(text: str, known: dict[str, int] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of a text; known: what the corpus says of words."""
     n = len(text)
-    own = abbreviations(evidence(text))
+    own = abbreviations(evidence(text)) if "." in text else {}
     known = known or {}
     regions = _regions(text)
     found: list[set[str]] = []
@@ -268,56 +316,89 @@ def _ends(text: str, i: int, me: int, e: int, begin: int, mark: str, own: dict[s
             then = text[k + 1 : k + 2]
             return bool(then) and not then.isspace() and not _lower(then)
         return nxt != "&"
-    before = text[max(begin, i - 300) : i]
-    word = before.rsplit(None, 1)[-1] if before.strip() else ""
-    word = word.lstrip("\"“«([„'¿¡「『‘—–")
-    low = word.lower()
+    if not gap and (nxt.isdigit() or _lower(nxt) or (not nxt.isalpha() and nxt not in "\"“«(¿¡")):
+        return False
+    at = i
+    while at > begin and not text[at - 1].isspace() and (gap or text[at - 1] != "."):
+        at -= 1
     if not gap:
-        if nxt.isdigit() or (not nxt.isalpha() and nxt not in "\"“«(¿¡"):
-            return False
-        if _lower(nxt) or not word or len(word) == 1 or "." in word:
+        word = text[at:i].lstrip(_OPENS)
+        if not word or len(word) == 1 or (at > begin and text[at - 1] == "."):
             return False
         if nxt.isalpha():
-            tail = text[k : k + 12]
-            w = re.match(r"[^\W_]+(?:['’][^\W_]+)?", tail).group()
+            w = _TOGETHER.match(text, k).group()
             if word[-1:].isupper() and not word.isupper():
                 return False
             return len(w) > 1 or w in "IAYOEÀÁÉ" or not w.isupper()
         return True
-    words = len(before.split())
-    if low.isdigit() or re.fullmatch(r"\d+", low):
-        prev = before.split()[-2:-1]
-        if prev and prev[0].lower() in BEFORE_ORDINAL and len(low) <= 2 and nxt.isalpha():
-            return False
-        return True
+    word = text[at:i].lstrip(_OPENS)
+    low = word.lower()
     if not word:
         return True
-    # letters with stops in a row count as one: a. m., z. B., U.K.
-    row = re.search(r"(?:(?<![\w.])[^\W\d_]\.\s?)+$", before + ".")
-    if row:
-        joined = re.sub(r"\s", "", row.group()).lower().rstrip(".")
-        single = joined.count(".") == 0
-        if joined in ("a.m", "p.m") or joined in EITHER:
-            return not _lower(nxt) and words >= 4 and not _goes_on(text, k) and not named(k)
-        if single and len(word) == 1 and word.isalpha():
-            if word.isupper() or word.lower() in TITLES or _caseless(word) or re.match(r"[^\W\d_]\.", text[k : k + 2]):
-                return False
-            return not _lower(nxt)
-        return not _lower(nxt) and words >= 4 and joined not in TITLES and not named(k)
-    said = own.get(low)
-    if said is None:
-        said = known.get(low)
-    if said is False and low in LISTED and word.islower():
+    if low.isdigit():
+        if len(low) <= 2 and nxt.isalpha():
+            stop = at
+            while stop > begin and text[stop - 1].isspace():
+                stop -= 1
+            start = stop
+            while start > begin and not text[start - 1].isspace():
+                start -= 1
+            return text[start:stop].lower() not in BEFORE_ORDINAL
         return True
+
+    def may_end() -> bool:
+        return not _lower(nxt) and bool(_FOUR.match(text, begin, i)) and not _goes_on(text, k) and not named(k)
+
+    def by(said: int) -> bool:
+        if nxt.isdigit() and said & COUNTS:
+            return False
+        if said & SHORT:
+            return may_end() if said & MAY_END else False
+        return True
+
+    if len(word) == 1 and word.isalpha():
+        # letters with stops in a row count as one: a. m., z. B.
+        row, j = word, at
+        while j - 2 >= begin and text[j - 1].isspace() and text[j - 2] == "." and j - 3 >= begin and text[j - 3].isalpha() and (j - 3 == begin or text[j - 4].isspace() or not text[j - 4].isalnum() and text[j - 4] != "."):
+            row, j = f"{text[j - 3]}.{row}", j - 3
+        if len(row) > 1:
+            said = _said(row, own, known)
+            if said:
+                return by(said)
+            joined = row.lower()
+            if joined in ("a.m", "p.m") or joined in EITHER:
+                return may_end()
+            return not _lower(nxt) and bool(_FOUR.match(text, begin, i)) and joined not in TITLES and not named(k)
+        said = _said(word, own, known)
+        if said and said != PLAIN:
+            return by(said)
+        if word.isupper() or low in TITLES or _caseless(word) or re.match(r"[^\W\d_]\.", text[k : k + 2]):
+            return False
+        return not _lower(nxt)
+    said = _said(word, own, known)
+    if said:
+        return by(said)
     if low in TITLES:
-        return low == "no" and not nxt.isdigit() and said is not True
+        return low == "no" and not nxt.isdigit()
     if low in EITHER:
-        return not _lower(nxt) and words >= 4 and not _goes_on(text, k) and not named(k)
-    if said and len(low) <= MOST_LETTERS:
-        return False
+        return may_end()
     return True
 
 
+def _said(word: str, own: dict[str, int], known: dict[str, int]) -> int:
+    """What the document, else the corpus, says of a word: as it is spelled, else in another case. Whether
+    sentences may end with a document's abbreviation the corpus is asked too, then the list."""
+    forms = dict.fromkeys((word, word.lower(), word.capitalize(), word.upper()))
+    told = next((said for form in forms if (said := known.get(form, 0))), 0)
+    for form in forms:
+        said = own.get(form, 0)
+        if said & SHORT:
+            return said | told & MAY_END | (MAY_END if not told and word.lower() in EITHER else 0)
+        if said and form == word:
+            return said
+    return told
+
+
 def _capitals(text: str, k: int) -> bool:
     """Whether the word at k is in capitals, so that its first letter says nothing."""
     m = re.match(r"[^\W\d_]+", text[k : k + 30])
@@ -333,69 +414,107 @@ def _caseless(w: str) -> bool:
     return w.upper() == w.lower()
 
 
-def asked(text: str, own: dict[str, bool]) -> set[str]:
-    """The words with a stop about which a text's own occurrences say nothing."""
-    return {w for m in _STOPPED.finditer(text) if not (w := m.group(1).lower()).isdigit() and len(w) <= MOST_LETTERS and w not in own}
+def asked(found: tuple[dict[str, list[int]], Counter], text: str, own: dict[str, int]) -> set[str]:
+    """The words with a stop about which a text's own occurrences say nothing, as they may be looked up."""
+    out: set[str] = set()
+    stops = {m.group(1) for m in _STOP.finditer(text) if m.group(3)} | set(found[0])
+    for w in stops:
+        if not w.isdigit() and own.get(w) != PLAIN:
+            out |= {w, w.lower(), w.capitalize(), w.upper()}
+    return out
+
+
+COUNTED = ("inner", "number", "name", "start", "bare")
+_NONE = [0, 0, 0, 0]
 
 
-def corpus_abbreviations(docs: DataFrame, text: str = "doc_text") -> DataFrame:
-    """(h, words): for each distinct text, by its digest, the words it asks for that are abbreviations by
-    the unambiguous occurrences in all distinct texts. The counts stay a table of any size; what a
-    text asks for is joined to it."""
+def learnt(texts: DataFrame, text: str) -> DataFrame:
+    """(w, said): what all of some distinct texts say of words with a stop, by flags()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            types = (("h", pa.string()), ("w", pa.string()), ("stop", pa.int64()), ("bare", pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], [n for n, _ in types])
+        def counts() -> pa.RecordBatch:
+            ws = list({**held, **words})
+            got = [held.get(w, _NONE) for w in ws]
+            sums = [*([g[k] for g in got] for k in range(4)), [words[w] - sum(g) if "." not in w else 0 for w, g in zip(ws, got)]]
+            return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *(pa.array(c, pa.int64()) for c in sums)], ["w", *COUNTED])
+
+        held: dict[str, list[int]] = {}
+        words: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                stops, all_words = evidence(t)
+                for w, n in stops.items():
+                    have = held.get(w)
+                    held[w] = [x + y for x, y in zip(have, n)] if have else n
+                words.update(all_words)
+            if len(held) + len(words) > MOST_HELD:
+                yield counts()
+                held, words = {}, Counter()
+        yield counts()
+
+    rows = texts.mapInArrow(run, "w string, " + ", ".join(f"{c} long" for c in COUNTED))
+    n = {c: F.col(c) for c in COUNTED}
+    stops = n["inner"] + n["number"] + n["name"]
+    title = (n["name"] >= LEAST_STOPS) & (stops >= LEAST_TITLES) & (20 * n["start"] <= n["name"]) & (20 * n["bare"] <= stops)
+    short = ((n["inner"] >= LEAST_STOPS) & (n["inner"] > n["bare"])) | title
+    ends = (n["start"] >= 2) & (10 * n["start"] >= n["name"] + n["start"])
+    number = (n["number"] >= LEAST_STOPS) & (n["number"] > n["start"] + n["name"])
+    said = F.when(short, F.when(ends, SHORT | MAY_END).otherwise(SHORT)).otherwise(0) + F.when(number, COUNTS).otherwise(0)
+    return rows.groupBy("w").agg(*[F.sum(c).alias(c) for c in COUNTED]).select("w", said.alias("said")).where("said > 0")
+
+
+def looked_up(texts: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """(h, words): by a text's digest, what known(w, said) says of the words that it asks for."""
 
-        held: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            asks = []
+            hs, ws = [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = evidence(t)
-                held.update({k: v for k, v in found.items() if len(k[0]) <= MOST_LETTERS})
-                asks += [(h, w, None, None) for w in asked(t, abbreviations(found))]
-            yield out(asks)
-            if len(held) > MOST_HELD:
-                yield out(_counts(held))
-                held = Counter()
-        yield out(_counts(held))
+                asks = asked(found, t, abbreviations(found))
+                hs += [h] * len(asks)
+                ws += asks
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.string()), pa.array(ws, pa.string())], ["h", "w"])
 
-    texts = docs.select(text).where(F.col(text) != "").distinct()
-    rows = written(texts.select(F.sha2(text, 256).alias("h"), text).mapInArrow(run, "h string, w string, stop long, bare long"), "stops")
-    counted = rows.where("h is null").groupBy("w").agg(F.sum("stop").alias("stop"), F.sum("bare").alias("bare")).where((F.col("stop") >= LEAST_STOPS) & (F.col("stop") > F.col("bare"))).select("w")
-    return rows.where("h is not null").select("h", "w").join(counted, "w").groupBy("h").agg(F.collect_set("w").alias("words"))
+    asks = texts.select(F.md5(text).alias("h"), text).mapInArrow(run, "h string, w string")
+    return asks.join(known, "w").groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("w", "said"))).alias("words"))
 
 
-def _counts(held: Counter) -> list[tuple]:
-    return [(None, w, held[w, True], held[w, False] + held[w, None]) for w in {w for w, _ in held}]
-
-
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", keep_text: bool = False) -> DataFrame:
-    """(key, char_start, char_end[, sentence_text]) of every sentence, in code points."""
-    known = corpus_abbreviations(docs, text)
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", keep_text: bool = False, most_known: int = MOST_KNOWN) -> DataFrame:
+    """(key, char_start, char_end[, sentence_text]) of every sentence, in code points. What the corpus says of
+    up to most_known words is broadcast, so that texts aren't shuffled; beyond that it is joined."""
+    docs = once(docs.select(key, text).where(F.col(text) != ""))
+    texts = once(docs.select(text))
+    known = written(learnt(texts, text), "stops")
     kind = dict(docs.dtypes)[key]
+    held = None
+    if known.count() <= most_known:
+        held = docs.sparkSession.sparkContext.broadcast({r["w"]: r["said"] for r in known.toLocalIterator()})
+        rows = docs
+    else:
+        rows = docs.withColumn("h", F.md5(text)).join(looked_up(texts, text, known), "h", "left").select(key, text, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, starts, ends, said = [], [], [], []
-            for k, (t, words) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                for s, e in split(t, dict.fromkeys(words or (), True)) if t else ():
-                    rows.append(k)
+            at, starts, ends, said = [], [], [], []
+            told = b.column(2).to_pylist() if held is None else None
+            for k, t in enumerate(b.column(1).to_pylist()):
+                for s, e in split(t, held.value if told is None else dict(told[k] or ())):
+                    at.append(k)
                     starts.append(s)
                     ends.append(e)
                     if keep_text:
                         said.append(t[s:e])
-            arrays = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            arrays = [b.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
             names = [key, "char_start", "char_end"]
             if keep_text:
                 arrays.append(pa.array(said, pa.string()))
                 names.append("sentence_text")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    rows = docs.select(key, text, F.sha2(text, 256).alias("h")).join(known, "h", "left").select(key, text, "words")
     out = rows.mapInArrow(run, f"`{key}` {kind}, char_start int, char_end int" + (", sentence_text string" if keep_text else ""))
-    return out.distinct()
+    # rows are distinct already, unless a key has several texts
+    return out.distinct() if docs.groupBy(key).count().where("count > 1").take(1) else out
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -403,7 +522,13 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p3_sentences(spark: SparkSession, base: str) -> DataFrame:
-    """The sentences with their texts and, beside them, whether sentence_dataset has the same unit."""
-    got = sentences(table(spark, base, "doc_manifest", "doc_id", "doc_text", distinct=False), keep_text=True)
-    units = table(spark, base, "sentence_dataset", "doc_id", "char_start", "char_end").withColumn("stored", F.lit(True))
-    return got.join(units, ["doc_id", "char_start", "char_end"], "left").select("doc_id", "char_start", "char_end", "sentence_text", F.coalesce("stored", F.lit(False)).alias("stored"))
+    """The sentences with their texts."""
+    return sentences(table(spark, base, "doc_manifest", "doc_id", "doc_text", distinct=False), keep_text=True)
+
+
+def p3_stored(spark: SparkSession, base: str) -> DataFrame:
+    """By document: true sentences, stored units, and units that are a true sentence."""
+    got = p3_found(spark, base).withColumn("true", F.lit(1))
+    units = table(spark, base, "sentence_dataset", "doc_id", "char_start", "char_end").where("doc_id is not null").withColumn("stored", F.lit(1))
+    both = got.join(units, ["doc_id", "char_start", "char_end"], "full")
+    return both.groupBy("doc_id").agg(F.count("true").alias("sentences"), F.count("stored").alias("units"), F.count(F.col("true") + F.col("stored")).alias("same"))

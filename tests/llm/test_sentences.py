@@ -2,7 +2,8 @@
 
 import pytest
 
-from sentria.llm.sentences import abbreviations, asked, evidence, sentences, split
+from sentria.llm import sentences as module
+from sentria.llm.sentences import COUNTS, MAY_END, PLAIN, SHORT, abbreviations, asked, evidence, flags, sentences, split
 
 
 @pytest.mark.parametrize(
@@ -48,10 +49,10 @@ def test_unspaced(parts, joint):
 
 def test_document_decides():
     text = "We saw the zog. near it, the zog. of old, and a zog. by the sea. Then the zog. Rolf came."
-    assert abbreviations(evidence(text))["zog"] is True
+    assert abbreviations(evidence(text))["zog"] == SHORT
     assert len(split(text)) == 2
     assert len(split("The zog. Rolf came here.")) == 2
-    assert len(split("The zog. Rolf came here.", {"zog": True})) == 1
+    assert len(split("The zog. Rolf came here.", {"zog": SHORT})) == 1
 
 
 @pytest.mark.parametrize(
@@ -72,7 +73,7 @@ def test_names_and_listed_words(parts):
 
 def test_corpus_before_lists():
     assert len(split("We studied modern art. Then we left.")) == 1
-    assert len(split("We studied modern art. Then we left.", {"art": False})) == 2
+    assert len(split("We studied modern art. Then we left.", {"art": PLAIN})) == 2
 
 
 @pytest.mark.parametrize("marks", ["“”", "«»", "()", '""', "„“", "「」"])
@@ -109,11 +110,52 @@ def test_asked():
     class Seen(dict):
         def get(self, w, default=None):
             looked.add(w)
+            return default
 
     for text in ("It was a zog.Then two. Three, (four.) Five “six.” Seven-eight. Nine 10. u.s. And etc. Then it.is. So.", "“Zog.” Then a vab. Rolf."):
         looked = set()
-        split(text, Seen(x=True))
-        assert {w for w in looked if w.isalpha() and len(w) <= 6} <= asked(text, abbreviations(evidence(text)))
+        split(text, Seen(x=SHORT))
+        found = evidence(text)
+        assert {w for w in looked if w.isalpha()} <= asked(found, text, abbreviations(found))
+
+
+def test_flags():
+    """(before small letters, numbers, names, words that begin sentences; without a stop)"""
+    assert flags(3, 0, 0, 0, 1) == SHORT and flags(2, 0, 0, 0, 0) == 0 and flags(5, 0, 0, 0, 9) == 0
+    assert flags(0, 0, 40, 0, 0) == SHORT and flags(0, 0, 40, 9, 0) == 0 and flags(0, 0, 40, 0, 9) == 0 and flags(0, 0, 5, 0, 0) == 0
+    assert flags(30, 0, 20, 10, 0) == SHORT | MAY_END and flags(0, 9, 1, 1, 200) == COUNTS
+
+
+LEARNT = [f"{a} came. {b} said yes to me." for a, b in (("Dr. Zorn", "Prof. Pell"), ("Dr. Marlo", "Prof. Kree"), ("Dr. Vash", "Prof. Lund"), ("Dr. Quill", "Prof. Tarn"), ("Dr. Bost", "Prof. Wick"), ("Dr. Hald", "Prof. Senn"))]
+LEARNT += [f"Die Gesellsch. für Musik und die Gesellsch. der Freunde {i} sangen." for i in range(3)] + [f"It is in vol. {i} and No. {i} of the log." for i in range(4)]
+LEARNT += [f"At {i} p.m. we ate and at {i} p.m. they ate. We left by 7 p.m. We slept." for i in range(4)]
+
+
+@pytest.mark.parametrize("most_known", [200_000, 0])
+def test_corpus_decides(spark, monkeypatch, most_known):
+    """Titles, long abbreviations, numbers and times are learnt without any list."""
+    monkeypatch.setattr(module, "TITLES", frozenset())
+    monkeypatch.setattr(module, "EITHER", frozenset())
+    asks = {"a": ["I met Dr. Draskin there.", "Then Prof. Ilk spoke of hope."], "b": ["Wir lasen, was die Gesellsch. Berlin schrieb.", "Es war gut."], "c": ["See vol. 9 and No. 8 there.", "It was late at 9 p.m. Then we slept."]}
+    asks["c"] = ["See vol. 9 and No. 8 there.", "We all came late at 9 p.m.", "Then then it was over."]
+    rows = [(f"l{i}", x) for i, x in enumerate(LEARNT)] + [(k, " ".join(v)) for k, v in asks.items()]
+    got = sentences(spark.createDataFrame(rows, "doc_id string, doc_text string"), most_known=most_known).where("doc_id in ('a', 'b', 'c')").collect()
+    by = {k: sorted((r["char_start"], r["char_end"]) for r in got if r["doc_id"] == k) for k in asks}
+    for k, v in asks.items():
+        text = " ".join(v)
+        assert [text[s:e] for s, e in by[k]] == v
+
+
+def test_long_abbreviation_in_a_document():
+    text = "Die Gesellsch. für Musik und die Gesellsch. der Freunde sangen. Die Gesellsch. Berlin kam."
+    assert [text[s:e] for s, e in split(text)] == ["Die Gesellsch. für Musik und die Gesellsch. der Freunde sangen.", "Die Gesellsch. Berlin kam."]
+
+
+def test_long_sentence():
+    """What a stop means doesn't depend on how far back its sentence began."""
+    long = "and then " * 200
+    assert len(split(f"We went on {long} until 6 p.m. The bakery opened.")) == 2
+    assert len(split(f"{'x' * 500} No. 7 came.")) == 1
 
 
 def test_empty_and_long():
