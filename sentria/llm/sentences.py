@@ -67,7 +67,8 @@ MOST_KNOWN = 200_000
 
 _MARK = re.compile(f"[{LATIN_ENDS}]+|[{OTHER_ENDS}]+|[\"“«「『(（\\[„‹《【]|(?<=[ก-๛])[ \\u00a0\\u200b]+(?=[ก-๛])|\\n\\s*\\n")
 _WORDS = re.compile(f"[\\w{MARKS}]+")
-_STOP = re.compile(f"((?:(?<!\\w)\\w\\.)*[\\w{MARKS}]+)\\.(?=(\\s*)(\\S?))")
+_WITHIN = "_" + "".join(c for c in map(chr, range(0x3000)) if re.match(f"[{MARKS}]", c))
+_GAP = re.compile(r"\s*")
 _FOUR = re.compile(r"\s*(?:\S+\s+){3}\S")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INSIDE = re.compile(r"([^\W\d_]+),?\s+(?=([^\W\d_]+))")
@@ -81,6 +82,20 @@ _UNSPACED = re.compile(f"[{UNSPACED}]")
 _SPEECH = re.compile(r"\b(?:asked|shouted|said|cried|called|replied|whispered|wrote|preguntó|gritó|dijo|fragte|rief|sagte|cria|demanda|dit)\b")
 
 
+def _stops(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, place of the stop, word) of words with a stop; initials in a row (e.g., U.K.) are one."""
+    i = text.find(".")
+    while i >= 0:
+        j = i
+        while j and (text[j - 1].isalnum() or text[j - 1] in _WITHIN):
+            j -= 1
+        if j < i and not (i - j == 1 and text[i + 1 : i + 2].isalnum()):
+            while j >= 2 and text[j - 1] == "." and text[j - 2].isalnum() and not text[j - 3 : j - 2].isalnum():
+                j -= 2
+            yield j, i, text[j:i]
+        i = text.find(".", i + 1)
+
+
 def evidence(text: str) -> tuple[dict[str, list[int]], Counter]:
     """By word with a stop, how often that stood before a small letter or comma, a number, what may be a
     name, and a word that begins a sentence; and how often each word stands in the text at all.
@@ -88,22 +103,19 @@ def evidence(text: str) -> tuple[dict[str, list[int]], Counter]:
     words = Counter(_WORDS.findall(text))
     out: dict[str, list[int]] = {}
     row, row_end = "", -1
-    for m in _STOP.finditer(text):
-        w, gap, then = m.groups()
-        if w[-1].isdigit() and w.isdigit():
-            continue
-        if not then:
+    for start, stop, w in _stops(text):
+        k = _GAP.match(text, stop + 1).end()
+        then = text[k : k + 1]
+        if not then or w.isdigit():
             continue
         if then.islower() or then in ",;:":
             kind = 0
+        elif k == stop + 1:
+            continue
         elif then.isdigit():
-            if not gap:
-                continue
             kind = 1
-        elif not gap:
-            continue
         elif then.isupper():
-            follows = _LETTERS.match(text, m.end(2)).group()
+            follows = _LETTERS.match(text, k).group()
             if len(follows) > 1 and follows.isupper():
                 continue  # in capitals throughout
             kind = 3 if follows.lower() in words else 2
@@ -111,10 +123,13 @@ def evidence(text: str) -> tuple[dict[str, list[int]], Counter]:
             kind = 2  # scripts without case have other end marks
         else:
             continue
-        out.setdefault(w, [0, 0, 0, 0])[kind] += 1
+        have = out.get(w)
+        if have is None:
+            have = out[w] = [0, 0, 0, 0]
+        have[kind] += 1
         if len(w) == 1:
-            row = f"{row}.{w}" if row and not text[row_end : m.start()].strip() else w
-            row_end = m.end()
+            row = f"{row}.{w}" if row and not text[row_end:start].strip() else w
+            row_end = stop + 1
             if len(row) > 1:
                 out.setdefault(row, [0, 0, 0, 0])[kind] += 1
         else:
@@ -417,8 +432,7 @@ def _caseless(w: str) -> bool:
 def asked(found: tuple[dict[str, list[int]], Counter], text: str, own: dict[str, int]) -> set[str]:
     """The words with a stop about which a text's own occurrences say nothing, as they may be looked up."""
     out: set[str] = set()
-    stops = {m.group(1) for m in _STOP.finditer(text) if m.group(3)} | set(found[0])
-    for w in stops:
+    for w in {w for _, _, w in _stops(text)} | set(found[0]):
         if not w.isdigit() and own.get(w) != PLAIN:
             out |= {w, w.lower(), w.capitalize(), w.upper()}
     return out
