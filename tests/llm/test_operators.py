@@ -116,6 +116,9 @@ def test_endings():
         assert truncation.state(x) == "ended", x
     for x in ("We met Dr.", "and the", "so,", "I read it in vol.", "the harb"):
         assert truncation.state(x) == "open", x
+    for x in ("We met Dr.", "I read it in vol.", "the caf\ufffd", "so,", "He left (and"):
+        assert truncation.tail(x)[2] == (x != "He left (and"), x
+    assert truncation.state("It weighed 3.") == "number" and truncation.state("on pp. 3-94") == "open"
     assert truncation.state(" \n") == "blank" and truncation.state("***") == "blank"
 
 
@@ -140,6 +143,16 @@ def test_cut(spark):
     assert 150 in {r["length"] for r in limits.collect()}
 
 
+def test_cut_in_a_number(spark):
+    """A stop after a number is a decimal point where numbers don't end sentences; broken characters are cut."""
+    rng = random.Random(12)
+    text = lambda: f"The {rng.choice(['lamp', 'kettle', 'box'])} weighed {rng.randint(1, 9)}.{rng.randint(10, 99)} kilos. We left by bus {rng.randint(1, 9)}."
+    rows = [(i, text()) for i in range(60)] + [(100, "My box weighed 3."), (101, "We took bus 7."), (102, "They liked the caf\ufffd"), (103, "I read it in vol.")] + [(104 + i, "I read it in vol.") for i in range(3)]
+    df = spark.createDataFrame([(i, "b", "m", x) for i, x in rows], "id int, bucket string, gen_model string, text string")
+    got = {r["id"] for r in truncation.cut(df, ("id",), ("bucket", "gen_model")).where("cut").collect()}
+    assert got == {100, 102, 103, 104, 105, 106}
+
+
 def test_cut_copies(spark):
     """Copies under other ids: a cut text stays cut, within a word or at a limit; closing lines stay finished."""
     rng = random.Random(6)
