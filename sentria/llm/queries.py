@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": splits.p7_found,
     "p7_splits": splits.p7_splits,
     "p7_report": splits.p7_report,
+    "p7_checks": splits.p7_checks,
     "p8_ids": encoding.p8_ids,
     "p8_roundtrip": encoding.p8_roundtrip,
     "p9_found": leaks.p9_found,
@@ -59,4 +60,7 @@ ORACLE_SQL: dict[str, str] = {
     reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
     splits AS (SELECT DISTINCT a.g, b.s FROM r a JOIN r b ON a.d = b.d WHERE a.g IS NOT NULL AND b.s IS NOT NULL UNION SELECT g, s FROM r WHERE d IS NULL AND g IS NOT NULL AND s IS NOT NULL)
     SELECT x AS group_id FROM reach JOIN splits ON reach.y = splits.g GROUP BY x HAVING count(DISTINCT s) > 1""",
+    # what any assignment must hold to
+    "p7_checks": """WITH r AS (SELECT DISTINCT doc_id, group_id, sentence_order, sentence_uid, label, split FROM sentence_dataset WHERE doc_id IS NOT NULL)
+    SELECT count(DISTINCT doc_id) AS documents, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (label = 1) AS BIGINT) AS n_ones, CAST(0 AS BIGINT) AS torn, true AS on_target FROM r HAVING count(*) > 0""",
 }

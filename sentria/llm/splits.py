@@ -6,9 +6,11 @@ document's least group; its components come from alternating large and small sta
 an aggregate and a join, with reliable checkpoints between the rounds. Hot groups are one node.
 
 ``assign`` gives each component a split: it begins with hashed places and moves or exchanges whole
-components by annealing. Components that hold a thousandth of all rows or more (so at most a
-thousand) are placed first, by one task; the others in parallel, in buckets of bounded size, each
-aiming at the shares that the large ones left, and keeping the best of several chains.
+components by annealing, cooled down over as many steps as there are. Components that hold a
+thousandth of all rows or more (so at most a thousand) are placed first, the others in parallel, in
+buckets of bounded size, each aiming at the rows and labels that the large ones left. Every chain
+is a task of its own, and the best one of each bucket is kept, which is never worse than the hashed
+start. ``p7_found`` needs no assignment: its rows come from the components alone.
 
 A null, blank or missing group links nothing; a document without any group is its own component;
 rows without document and group are left out.
@@ -16,27 +18,25 @@ rows without document and group are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm.common import table, tidy
-from sentria.sources import shared_dir
+from sentria.sources import shared_dir, written
 
 CHAINS = 4
-MOVES = 4000
-BUCKET_ROWS = 200_000
+MOVES = 8000
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component) of every node of edges(a, b); a component is named by its least node."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges(a, b); a component is named by its least node. Rounds go on
+    until nothing changes; their number grows with the logarithm of the components' size."""
     shared_dir(edges.sparkSession)
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().checkpoint()
-    size = -1
-    for _ in range(most_rounds):
+    size = None
+    while True:
         # large stars: the larger neighbours of each node go to the least of its neighbourhood
         near = both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = near.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -66,22 +66,23 @@ def related(rows: DataFrame, doc: str = "doc_id", group: str = "group_id") -> tu
     return docs, groups
 
 
-def anneal(sizes: np.ndarray, ones: np.ndarray, shares: np.ndarray, start: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+def deviation(have: np.ndarray, ones: np.ndarray, want: np.ndarray, want_ones: np.ndarray) -> float:
+    """How far rows, and by half labels, of the splits are from what is wanted, as shares."""
+    return float(np.abs(have - want).sum() / max(want.sum(), 1) + 0.5 * np.abs(ones - want_ones).sum() / max(want_ones.sum(), 1))
+
+
+def anneal(sizes: np.ndarray, ones: np.ndarray, want: np.ndarray, want_ones: np.ndarray, start: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """Splits of the components with the least deviation found: moves and exchanges of whole
     components, accepted if they help or, more and more rarely, if they don't."""
     rng = np.random.default_rng(seed)
-    k, n = len(shares), len(sizes)
-    total, total_ones = max(sizes.sum(), 1), max(ones.sum(), 1)
+    k, n = len(want), len(sizes)
     place = start.copy()
     have = np.bincount(place, weights=sizes, minlength=k)
     have_ones = np.bincount(place, weights=ones, minlength=k)
-
-    def cost(h: np.ndarray, o: np.ndarray) -> float:
-        return float(np.abs(h / total - shares).sum() + 0.5 * np.abs(o / total_ones - shares).sum())
-
-    now = best = cost(have, have_ones)
+    now = best = deviation(have, have_ones, want, want_ones)
     best_place = place.copy()
-    for step in range(min(MOVES, 40 * n)):
+    steps = min(MOVES, 40 * n)
+    for step in range(steps):
         i, to = int(rng.integers(n)), int(rng.integers(k))
         swap = [(i, to)]
         if rng.random() < 0.5:
@@ -97,8 +98,8 @@ def anneal(sizes: np.ndarray, ones: np.ndarray, shares: np.ndarray, start: np.nd
             o[place[c]] -= ones[c]
             h[t] += sizes[c]
             o[t] += ones[c]
-        then = cost(h, o)
-        heat = 0.02 * (1 - step / MOVES) ** 2 + 1e-9
+        then = deviation(h, o, want, want_ones)
+        heat = min(0.02, 1 / n) * (1 - step / steps) ** 2 + 1e-9
         if then <= now or rng.random() < np.exp((now - then) / heat):
             for c, t in swap:
                 place[c] = t
@@ -108,48 +109,49 @@ def anneal(sizes: np.ndarray, ones: np.ndarray, shares: np.ndarray, start: np.nd
     return best_place, best
 
 
-def _placed(pdf: pd.DataFrame, names: list[str], shares: np.ndarray) -> pd.DataFrame:
-    """The best of several chains, each begun with hashed places."""
-    pdf = pdf.sort_values("component")
-    sizes, ones = pdf["n"].to_numpy(float), pdf["ones"].to_numpy(float)
-    u = (pd.util.hash_array(pdf["component"].to_numpy(object)) % np.uint64(1 << 32)).astype(float) / (1 << 32)
-    start = np.minimum(np.searchsorted(np.cumsum(shares), u, "right"), len(names) - 1)
-    runs = [anneal(sizes, ones, shares, start, seed) for seed in range(CHAINS)]
-    place = min(runs, key=lambda r: r[1])[0]
-    return pd.DataFrame({"component": pdf["component"].to_numpy(), "split": [names[p] for p in place]})
+def hashed(names: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Places by the components' digests, in the given shares."""
+    u = (pd.util.hash_array(names.astype(object)) % np.uint64(1 << 32)).astype(float) / (1 << 32)
+    return np.minimum(np.searchsorted(np.cumsum(shares), u, "right"), len(shares) - 1)
+
+
+def _placed(parts: DataFrame, names: list[str], shares: np.ndarray, left: np.ndarray, left_ones: np.ndarray) -> DataFrame:
+    """(component, split) of parts(bucket, component, n, ones): by bucket the best of several chains. left:
+    the shares of rows and labels that the buckets aim at."""
+    chains = parts.withColumn("chain", F.explode(F.array(*map(F.lit, range(CHAINS)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("component")
+        sizes, ones = pdf["n"].to_numpy(float), pdf["ones"].to_numpy(float)
+        place, cost = anneal(sizes, ones, left * sizes.sum(), left_ones * ones.sum(), hashed(pdf["component"].to_numpy(), shares), int(pdf["chain"].iloc[0]))
+        return pd.DataFrame({"bucket": pdf["bucket"], "chain": pdf["chain"], "component": pdf["component"], "place": place.astype("int32"), "cost": cost})
+
+    runs = chains.groupBy("bucket", "chain").applyInPandas(run, "bucket long, chain int, component string, place int, cost double").checkpoint()
+    best = runs.groupBy("bucket").agg(F.min(F.struct("cost", "chain")).alias("b")).select("bucket", F.col("b.chain").alias("chain"))
+    split = F.element_at(F.array(*map(F.lit, names)), F.col("place") + 1)
+    return runs.join(best, ["bucket", "chain"]).select("component", split.alias("split"))
 
 
 def assign(parts: DataFrame, targets: list[tuple[str, float]]) -> DataFrame:
     """(component, split) of parts(component, n, ones)."""
-    spark = parts.sparkSession
+    shared_dir(parts.sparkSession)
     names = [t for t, _ in targets]
     shares = np.array([max(s or 0.0, 0.0) for _, s in targets], dtype=float)
     shares = shares / shares.sum()
-    total, n_parts = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, -(-total // 1000))
-    large = parts.where(F.col("n") >= least).toPandas() if total > 1000 else pd.DataFrame({"component": [], "n": [], "ones": []})
-    left = shares
-    out = spark.createDataFrame([], "component string, split string")
-    if len(large):
-        placed = _placed(large, names, shares)
-        used = placed.merge(large, on="component").groupby("split")["n"].sum()
-        rest = np.maximum(shares * total - np.array([used.get(n, 0) for n in names], dtype=float), 0)
-        left = rest / rest.sum() if rest.sum() else shares
-        out = spark.createDataFrame(placed)
-    small = parts.where(F.col("n") < least) if total > 1000 else parts
-    buckets = max(1, min(int(n_parts) // 2000 + 1, 1 << 20))
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
-        for pdf in pdfs:
-            held.append(pdf)
-            if sum(map(len, held)) >= BUCKET_ROWS:
-                yield _placed(pd.concat(held), names, left)
-                held = []
-        if any(map(len, held)):
-            yield _placed(pd.concat(held), names, left)
-
-    return out.unionByName(small.repartition(buckets, "component").sortWithinPartitions("component").mapInPandas(run, "component string, split string"))
+    total, total_ones, n_parts = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ones"), F.lit(0)), F.count("*")).first()
+    small, left, left_ones, out = parts, shares, shares, None
+    if total > 1000:
+        is_large = F.col("n") >= -(-total // 1000)
+        large, small = parts.where(is_large), parts.where(~is_large)
+        out = _placed(large.withColumn("bucket", F.lit(-1).cast("long")), names, shares, shares, shares)
+        held = {r["split"]: r for r in out.join(large, "component").groupBy("split").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect()}
+        rest = lambda c, of: np.maximum(shares * of - np.array([held[n][c] if n in held else 0 for n in names], dtype=float), 0)
+        share = lambda x: x / x.sum() if x.sum() else shares
+        left, left_ones = share(rest("n", total)), share(rest("ones", total_ones))
+    buckets = int(n_parts) // 2000 + 1
+    bucketed = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    placed = _placed(bucketed, names, left, left, left_ones)
+    return out.unionByName(placed) if out is not None else placed
 
 
 def _rows(spark: SparkSession, base: str) -> DataFrame:
@@ -185,3 +187,19 @@ def p7_report(spark: SparkSession, base: str) -> DataFrame:
     sums = got.join(rows, "doc_id").groupBy("split").agg(F.count("*").alias("documents"), F.sum("n").alias("n_rows"), F.sum("ones").alias("n_ones"))
     targets = table(spark, base, "split_targets", "split", "share")
     return targets.join(sums, "split", "left").select("split", "share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_ones", F.lit(0)).alias("n_ones"))
+
+
+def p7_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What holds for any good assignment: documents, rows and label-1 rows that got a split, related groups
+    that were torn, and whether each split's share of rows is within a hundredth of its target or, if more, the largest set's share."""
+    got = p7_splits(spark, base)
+    rows = _rows(spark, base).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("ones"))
+    each = written(got.join(rows, "doc_id"), "assigned")
+    torn = each.groupBy("component").agg(F.countDistinct("split").alias("splits"), F.sum("n").alias("n"))
+    sums = each.agg(F.count("*").alias("documents"), F.sum("n").alias("n_rows"), F.sum("ones").alias("n_ones"))
+    parts = torn.agg(F.count_if(F.col("splits") > 1).alias("torn"), F.max("n").alias("largest"))
+    targets = table(spark, base, "split_targets", "split", "share").where("split is not null and share > 0")
+    by = targets.join(each.groupBy("split").agg(F.sum("n").alias("n")), "split", "left")
+    one = sums.join(parts).where("documents > 0")
+    off = by.join(one).agg(F.max(F.abs(F.coalesce("n", F.lit(0)) / F.col("n_rows") - F.col("share")) - F.greatest(F.lit(0.01), F.col("largest") / F.col("n_rows"))).alias("off"))
+    return one.join(off).select("documents", "n_rows", "n_ones", "torn", (F.coalesce("off", F.lit(0.0)) <= 0).alias("on_target"))

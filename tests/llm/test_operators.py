@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,16 +327,39 @@ def test_components(spark):
     assert len({(by[a], find(a)) for a in parent}) == len(set(by.values())) == len({find(a) for a in parent})
 
 
+def test_components_of_long_chains(spark):
+    for n in (3, 700):
+        edges = spark.createDataFrame([(f"{i:05d}", f"{i + 1:05d}") for i in range(n)], "a string, b string")
+        got = splits.components(edges).collect()
+        assert len(got) == n + 1 and {r["component"] for r in got} == {"00000"}
+
+
 def test_assign(spark):
     rng = random.Random(9)
-    rows = [(f"c{i}", n := rng.choice([1, 2, 3, 5, 8, 40]), rng.randint(0, n)) for i in range(3000)] + [("huge", 5000, 2000)]
+    rows = [(f"c{i}", n := rng.choice([1, 2, 3, 5, 8, 40]), rng.randint(0, n)) for i in range(3000)] + [("huge", 5000, 2000), ("big", 900, 900), ("other", 800, 0)]
     targets = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
     parts = spark.createDataFrame(rows, "component string, n long, ones long")
     got = {r[0]: r[1] for r in splits.assign(parts, targets).collect()}
     assert set(got) == {r[0] for r in rows}
-    total = sum(n for _, n, _ in rows)
+    total, ones = sum(n for _, n, _ in rows), sum(o for _, _, o in rows)
     for name, s in targets:
-        assert abs(sum(n for c, n, _ in rows if got[c] == name) / total - s) < 0.02
+        assert abs(sum(n for c, n, _ in rows if got[c] == name) / total - s) < 0.01
+        assert abs(sum(o for c, _, o in rows if got[c] == name) / ones - s) < 0.015
+
+
+@pytest.mark.parametrize("n", [4, 30, 800])
+def test_search_beats_hashed_places(n):
+    rng = np.random.default_rng(n)
+    sizes = rng.integers(1, 60, n).astype(float)
+    ones = np.floor(sizes * rng.random(n))
+    shares = np.array([0.8, 0.1, 0.1])
+    start = splits.hashed(np.array([f"c{i}" for i in range(n)]), shares)
+    count = lambda p, w: np.bincount(p, weights=w, minlength=3)
+    want, want_ones = shares * sizes.sum(), shares * ones.sum()
+    before = splits.deviation(count(start, sizes), count(start, ones), want, want_ones)
+    place, after = splits.anneal(sizes, ones, want, want_ones, start, 0)
+    assert after == pytest.approx(splits.deviation(count(place, sizes), count(place, ones), want, want_ones))
+    assert after <= before and (n < 30 or after < 0.2 * before) and (n < 800 or after < 0.005)
 
 
 def test_p7_found(spark, tmp_path):
