@@ -124,19 +124,26 @@ class Languages:
         found, _ = self.posteriors(text)
         return max(found, key=found.__getitem__) if found else None
 
-    def agreement(self, asked: str, answer: str) -> float:
+    def agreement(self, asked: str, answer: str, enough: float = 1.0) -> float:
         """How far two texts agree in language: 1 where either has no letters. Each sentence of the answer
-        counts by its letters; those of a script without spaces count as three."""
+        counts by its letters; those of a script without spaces count as three. Once ``enough`` is
+        reached whatever the rest says, the rest isn't read."""
         wanted, _ = self.posteriors(asked)
-        same = total = 0.0
+        parts = []
         for part in _SENTENCE.split(answer):
             if len(part) >= 2:
-                got, n = self.posteriors(part)
-                if got:
-                    n *= 3 if next(iter(got)) in ("Han", "Kana") else 1
-                    total += n
-                    same += n * sum(p * wanted.get(k, 0.0) for k, p in got.items())
-        return same / total if total and wanted else 1.0
+                name, n = script(part.lower())
+                if n:
+                    parts.append((part, n * (3 if name in ("Han", "Kana") else 1)))
+        same, total = 0.0, sum(n for _, n in parts)
+        if not total or not wanted:
+            return 1.0
+        for part, n in parts:
+            got, _ = self.posteriors(part)
+            same += n * sum(p * wanted.get(k, 0.0) for k, p in got.items())
+            if same >= enough * total:
+                break
+        return same / total
 
 
 class Judge:
@@ -193,7 +200,7 @@ def defect(answer: str | None, message: str, judge: Judge) -> str | None:
         return "copy"
     if judge.refuses(answer):
         return "refusal"
-    return "language" if judge.languages.agreement(question(message), answer) < AGREE else None
+    return "language" if judge.languages.agreement(question(message), answer, AGREE) < AGREE else None
 
 
 def jobs(spark: SparkSession, base: str) -> DataFrame:
