@@ -7,25 +7,22 @@ from pyspark.sql import functions as F
 
 from sentria.functions import text as T
 from sentria.operators.lm import bigram_scores, sentence_signals
-from sentria.operators.model import FIXED_INTERCEPT, matrix, score, top_reasons
+from sentria.operators.model import FIXED_INTERCEPT, matrix, score, with_reasons
 from sentria.operators.sentences import sentences, word_rows
 from sentria.operators.style import style_features
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", scorer=bigram_scores) -> DataFrame:
-    """(key, sentence_order, all thirty features) of each sentence."""
+def features(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", scorer=bigram_scores, keep_text: bool = False) -> DataFrame:
+    """(key, sentence_order[, sentence_text], all thirty features) of each sentence."""
     sents = sentences(docs.select(key, text), key, text)
     signals = sentence_signals(sents, scorer(word_rows(sents, key)), key)
-    return signals.join(style_features(docs.select(key, text), key, text), [key, "sentence_order"])
+    return style_features(docs.select(key, text), key, text, keep_text).join(signals, [key, "sentence_order"])
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", model=None, intercept: float = FIXED_INTERCEPT, scorer=bigram_scores) -> DataFrame:
-    """(key, sentence_order, sentence_text, prob, predicted, reasons)."""
-    sents = sentences(docs.select(key, text), key, text)
-    rows = score(matrix(features(docs, key, text, scorer), key, "sentence_order"), model, intercept)
-    rows = rows.withColumn("_id", F.struct(key, "sentence_order"))
-    why = top_reasons(rows, "_id", model=model).select(F.col(f"_id.{key}").alias(key), F.col("_id.sentence_order").alias("sentence_order"), "reasons")
-    return sents.select(key, "sentence_order", "sentence_text").join(rows.select(key, "sentence_order", "prob", "predicted"), [key, "sentence_order"]).join(why, [key, "sentence_order"])
+    """(key, sentence_order, sentence_text, prob, predicted, reasons): one plan of features, nothing joined again."""
+    rows = score(matrix(features(docs, key, text, scorer, True), key, "sentence_order", "sentence_text"), model, intercept)
+    return with_reasons(rows, model=model).select(key, "sentence_order", "sentence_text", "prob", "predicted", "reasons")
 
 
 def results(rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -69,6 +69,12 @@ def subset_per_group(df: DataFrame, group: str, item: str, low: float, high: flo
     return df.withColumn("_most", most).withColumn("_rank", rank).where("_rank <= _most").drop("_most", "_rank")
 
 
+def choice_per_group(df: DataFrame, group: str, names: list[str], name: str = "style") -> DataFrame:
+    """df with one of some names for each group, by hash."""
+    u = F.conv(F.substring(hashed(group), 7, 6), 16, 10).cast("long")
+    return df.withColumn(name, F.element_at(F.array(*map(F.lit, names)), (u % len(names)).cast("int") + 1))
+
+
 def exclude(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't among others'."""
     return df.join(others.select(key).distinct(), key, "left_anti")

@@ -37,6 +37,14 @@ def cohort_rates(rows: DataFrame, cohort: Column) -> DataFrame:
     return rows.withColumn("cohort", cohort).where("cohort is not null").groupBy("cohort").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.avg(F.col("predicted").cast("double")).alias("flag_rate"))
 
 
+def bias_gap(rates: DataFrame, one: str = "nonnative", other: str = "native") -> DataFrame:
+    """One row from cohort_rates: sentences and documents of one cohort, the rates of both, and the gap in
+    percentage points."""
+    of = lambda c, k: F.max(F.when(F.col("cohort") == k, F.col(c)))
+    row = rates.agg(of("n", one).alias("n_sentences"), of("docs", one).alias("n_essays"), of("flag_rate", one).alias("false_positive_rate"), of("n", other).alias("native_n_sentences"), of("flag_rate", other).alias("native_false_positive_rate"))
+    return row.withColumn("gap_percentage_points", (F.col("false_positive_rate") - F.col("native_false_positive_rate")) * 100)
+
+
 def wrong_documents(rows: DataFrame, pure: tuple[str, ...], k: int = 3) -> DataFrame:
     """The k documents of pure buckets that are wrong with the greatest confidence. rows: doc_id, ord,
     label, bucket, sentence_text, prob. The preview gathers texts of those k documents only."""

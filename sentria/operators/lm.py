@@ -6,12 +6,15 @@ scorer that gives (key, sentence_order, pos, nll, rank) can take its place.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sentria.config import CONFIG
+
 SIGNALS = ["sig_mean_nll", "sig_perplexity", "sig_mean_rank", "sig_median_rank", "sig_frac_top1", "sig_frac_top10", "sig_frac_top50", "sig_surprisal_std", "sig_max_surprisal", "sig_doc_perplexity"]
 K = 0.5
 
@@ -39,6 +42,38 @@ def unigram_scores(words: DataFrame, key: str = "doc_id") -> DataFrame:
     return w.where("pos > 0").join(table.select("w", "nll"), "w").select(key, "sentence_order", "pos", "nll")
 
 
+def windowed(tokens: DataFrame, make: Callable[[], Callable[[list[str]], list[tuple[float, int]]]], key: str = "doc_id", window: int = CONFIG.lm_window, stride: int = CONFIG.lm_stride) -> DataFrame:
+    """(key, pos, nll, rank) of tokens(key, tokens) by a model that reads at most ``window`` tokens: the window
+    moves on by ``stride``, and where windows overlap the first one that scores a token wins. ``make``
+    builds the model once in a task; it gives (nll, rank) of every token but the first of what it
+    reads. Documents are read one after another in Arrow batches."""
+    if not 0 < stride < window:
+        raise ValueError("windows have to overlap and to move on")
+    kind = dict(tokens.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for b in batches:
+            at, pos, nll, rank = [], [], [], []
+            for k, words in enumerate(b.column(1).to_pylist()):
+                n, start, done = len(words or ()), 0, 0
+                while start < n:
+                    end = min(start + window, n)
+                    for i, (x, r) in enumerate(score(words[start:end])):
+                        if start + i + 1 > done:
+                            at.append(k)
+                            pos.append(start + i + 1)
+                            nll.append(x)
+                            rank.append(r)
+                    done = end - 1
+                    if end == n:
+                        break
+                    start += stride
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(nll, pa.float64()), pa.array(rank, pa.int32())], [key, "pos", "nll", "rank"])
+
+    return tokens.select(key, "tokens").mapInArrow(run, f"`{key}` {kind}, pos int, nll double, rank int")
+
+
 def token_to_sentence(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """tokens(key, char_start) with the sentence that holds each: the first whose end lies behind its
     start; tokens behind the last end belong to the last sentence."""

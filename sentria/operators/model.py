@@ -100,10 +100,9 @@ def contributions(rows: DataFrame, key: str, model=None) -> DataFrame:
     return rows.select(key, "predicted", F.explode(each).alias("x")).select(key, "predicted", "x.*")
 
 
-def top_reasons(rows: DataFrame, key: str, k: int = 3, model=None) -> DataFrame:
-    """(key, predicted, reasons): of the k largest contributions with the verdict's sign (ties in the
-    features' order) those that have something to say, else what the verdict says on the whole.
-    Row by row, without a shuffle."""
+def reasons(k: int = 3, model=None) -> Column:
+    """Of the k largest contributions with the verdict's sign (ties in the features' order) those that have
+    something to say, else what the verdict says on the whole; of rows with the features and predicted."""
     model = model or fixed_model()
     sign = F.when(F.col("predicted"), F.lit(1.0)).otherwise(F.lit(-1.0))
     none = F.lit(None).cast("string")
@@ -112,26 +111,43 @@ def top_reasons(rows: DataFrame, key: str, k: int = 3, model=None) -> DataFrame:
         for i, (n, c, m, s) in enumerate(model)
     ]
     top = F.slice(F.array_sort(F.filter(F.array(*each), lambda x: x["aligned"] > 0)), 1, k)
-    said = F.filter(F.transform(top, lambda x: x["text"]), lambda t: t.isNotNull())
+    return F.filter(F.transform(top, lambda x: x["text"]), lambda t: t.isNotNull())
+
+
+def with_reasons(rows: DataFrame, k: int = 3, model=None) -> DataFrame:
+    """Scored rows with their reasons, row by row."""
     rest = F.array(F.when(F.col("predicted"), F.lit(FALLBACK[0])).otherwise(F.lit(FALLBACK[1])))
-    return rows.withColumn("_r", said).select(key, "predicted", F.when(F.size("_r") > 0, F.col("_r")).otherwise(rest).alias("reasons"))
+    return rows.withColumn("reasons", reasons(k, model)).withColumn("reasons", F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(rest))
+
+
+def top_reasons(rows: DataFrame, key: str, k: int = 3, model=None) -> DataFrame:
+    """(key, predicted, reasons) of scored rows."""
+    return with_reasons(rows, k, model).select(key, "predicted", "reasons")
 
 
-def scaled(rows: DataFrame, *keep: str) -> DataFrame:
+def scaled(rows: DataFrame, *keep: str, by: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """rows with a vector of standardized features; the scaler's one row goes to the driver."""
-    by = {r["name"]: (r["mean"], r["scale"]) for r in scaler(rows).collect()}
+    by = by or {r["name"]: (r["mean"], r["scale"]) for r in scaler(rows).collect()}
     std = rows.select(*keep, *[((F.col(c) - by[c][0]) / by[c][1]).alias(c) for c in FEATURES])
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(std).select(*keep, "features")
 
 
-def fit_logreg(rows: DataFrame, label: str = "label"):
-    """Balanced logistic regression with an L2 penalty of C = 1 on standardized features."""
+def fit_logreg(rows: DataFrame, label: str = "label", by: dict[str, tuple[float, float]] | None = None):
+    """Balanced logistic regression with an L2 penalty of C = 1 on standardized features, to convergence. The
+    features are held (in memory, else on disk) while it iterates."""
     weights = class_weights(rows, label)
-    data = scaled(rows, label).join(F.broadcast(weights), label)
-    total = data.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(data)
+    data = scaled(rows, label, by=by).join(F.broadcast(weights), label).persist()
+    try:
+        total = data.agg(F.sum("weight")).first()[0]
+        return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-10).fit(data)
+    finally:
+        data.unpersist()
 
 
-def fit_gbt(rows: DataFrame, label: str = "label", rounds: int = 20):
+def fit_gbt(rows: DataFrame, label: str = "label", rounds: int = 200):
     """Boosted trees for comparison."""
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=0.1, seed=42).fit(scaled(rows, label))
+    data = scaled(rows, label).persist()
+    try:
+        return GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=5, cacheNodeIds=True, checkpointInterval=10, seed=42).fit(data)
+    finally:
+        data.unpersist()

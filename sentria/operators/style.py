@@ -35,8 +35,8 @@ def document_lexis(docs: DataFrame, key: str = "doc_id", text: str = "doc_text")
     return g.select(key, F.size("w").alias("n_doc_words"), T.mattr(F.col("w")).alias("doc_mattr"), T.repetition(F.col("g2")).alias("doc_bigram_repetition_rate"), T.repetition(F.col("g3")).alias("doc_trigram_repetition_rate"))
 
 
-def style_features(docs: DataFrame, key: str = "doc_id", text: str = "doc_text") -> DataFrame:
-    """(key, sentence_order, the twenty features) of each sentence."""
+def style_features(docs: DataFrame, key: str = "doc_id", text: str = "doc_text", keep_text: bool = False) -> DataFrame:
+    """(key, sentence_order[, sentence_text], the twenty features) of each sentence."""
     sents = sentences(docs.select(key, text), key, text)
     doc = W.partitionBy(key)
     s = F.col("sentence_text")
@@ -46,6 +46,7 @@ def style_features(docs: DataFrame, key: str = "doc_id", text: str = "doc_text")
     return rows.select(
         key,
         "sentence_order",
+        *(["sentence_text"] if keep_text else []),
         F.col("n_words").cast("double").alias("sent_len_words"),
         T.mean_word_length(F.col("w")).alias("sent_avg_word_len"),
         T.comma_rate(s).alias("sent_comma_rate"),

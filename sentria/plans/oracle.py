@@ -230,4 +230,21 @@ ORACLE_SQL: dict[str, str] = {
     "prob_color": f"""{SCORED}, q AS (SELECT sentence_uid, floor(prob * 1000) / 1000.0 + 0.0002 AS p FROM scored) SELECT sentence_uid, printf('rgba(%d, %d, %d, %.2f)', {_channel(90, 239)}, {_channel(100, 68)}, {_channel(140, 68)}, pow({_T}, 1.6) * 0.62) AS color,
     CASE WHEN p < 0.75 THEN 'none' ELSE printf('0 0 %dpx rgba(239, 68, 68, %.2f)', CAST(floor(6.5 + (p - 0.75) / 0.25 * 10.0) AS INTEGER), 0.15 + (p - 0.75) / 0.25 * 0.25) END AS glow, printf('%.1f%%', p * 100.0) AS shown FROM q""",
     "all_features": f"{STYLE}{LM}{SIGNALS} SELECT doc_id, sentence_order, {', '.join(r(c) for c in lm.SIGNALS + style.SENTENCE_FEATURES + style.DOCUMENT_FEATURES)} FROM style JOIN signals USING (doc_id, sentence_order)",
+    "saved_model_score": f"{SCORED} SELECT sentence_uid, split, {r('prob')}, predicted FROM scored",
+    "bias_gap": f"""{SCORED}, a AS (SELECT count(*) FILTER (bucket = 'ell_nonnative') AS n, count(DISTINCT doc_id) FILTER (bucket = 'ell_nonnative') AS d, avg(CASE WHEN predicted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (bucket = 'ell_nonnative') AS f,
+    count(*) FILTER (bucket = 'daigt_human' AND split = 'test') AS nn, avg(CASE WHEN predicted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (bucket = 'daigt_human' AND split = 'test') AS nf FROM scored)
+    SELECT nullif(n, 0) AS n_sentences, nullif(d, 0) AS n_essays, {r('f', 'false_positive_rate')}, nullif(nn, 0) AS native_n_sentences, {r('nf', 'native_false_positive_rate')}, {r('(f - nf) * 100', 'gap_percentage_points')} FROM a""",
+    # the first window of 16 that covers a place begins at the least multiple of 8 that lets it
+    "windowed_scores": f"""WITH d AS (SELECT DISTINCT doc_id, doc_text FROM doc_manifest WHERE doc_text IS NOT NULL), t AS (SELECT doc_id, list_filter(regexp_split_to_array({strip('doc_text')}, '[{_W}]+'), lambda x: x <> '') AS w FROM d),
+    p AS (SELECT doc_id, w, unnest(range(1, len(w))) AS pos FROM t), s AS (SELECT *, pos - 1 - 8 * greatest(0, CAST(ceil((pos - 15) / 8.0) AS BIGINT)) AS i FROM p)
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, {r('(length(w[pos]) + i % 7) / 10.0::DOUBLE', 'nll')}, CAST(i % 5 AS INTEGER) AS rank FROM s""",
+    "word_bounds": f"""WITH c AS (SELECT DISTINCT doc_id, group_id, chunk_idx, chunk_text, label, bucket, gen_model FROM self_ai_fresh_chunks WHERE chunk_text IS NOT NULL), n AS (SELECT doc_id, chunk_idx, CAST(len(list_filter(regexp_split_to_array({strip('chunk_text')}, '[{_W}]+'), lambda x: x <> '')) AS INTEGER) AS n FROM c)
+    SELECT *, n >= 80 AS essay, n >= 15 AS rework, n >= 8 AS reworked, n >= 3 AS sentence FROM n""",
+    "style_per_document": "SELECT DISTINCT doc_id, CASE CAST(('0x' || substr(md5('42' || doc_id), 7, 6)) AS BIGINT) % 2 WHEN 0 THEN 'direct' ELSE 'coached' END AS style FROM self_ai_polished_chunks WHERE doc_id IS NOT NULL",
+    "filled_templates": "SELECT DISTINCT job_id, CASE WHEN prompt_style IS NOT NULL AND user_message IS NOT NULL THEN 'Write in style ' || prompt_style || '.' || chr(10) || chr(10) || 'Prompt: ' || user_message END AS message FROM generation_jobs",
+    "generated_essays": f"""WITH j AS (SELECT DISTINCT job_id, user_message FROM generation_jobs WHERE user_message IS NOT NULL), a AS (SELECT job_id, {_CLEAN.replace('chunk_text', "('Title: an answer' || chr(10) || repeat(user_message || ' ', 4))")} AS chunk_text FROM j)
+    SELECT DISTINCT job_id, chunk_text FROM a WHERE len(list_filter(regexp_split_to_array({strip('chunk_text')}, '[{_W}]+'), lambda x: x <> '')) >= 80""",
+    "row_errors": f"""WITH t AS (SELECT doc_id, text, regexp_split_to_array({strip('text')}, '[{_W}]+')[1] AS w FROM documents) SELECT doc_id, CAST(CASE WHEN text IS NOT NULL AND w <> '' THEN length(w) ELSE -1 END AS INTEGER) AS length, CASE WHEN text IS NULL THEN 'AttributeError' WHEN w = '' THEN 'IndexError' END AS error FROM t""",
+    "single_split": "SELECT DISTINCT doc_id, lower(trim(split)) AS split FROM doc_manifest WHERE doc_text IS NOT NULL AND lower(trim(split)) = 'train'",
+    "stream_window_counts": f"SELECT CAST(floor(epoch(collected_at) / 86400) * 86400 AS BIGINT) AS start, count(*) AS documents, CAST(coalesce(sum(len({words('text')})), 0) AS BIGINT) AS words FROM documents WHERE collected_at IS NOT NULL GROUP BY 1",
 }

@@ -3,14 +3,17 @@ operators that need a bounded aggregate first."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.functions import text as T
-from sentria.operators import analyze, corpus, evaluate, history, lm, model, style
+from sentria.config import CONFIG
+from sentria.operators import analyze, artifact, corpus, evaluate, generate, history, lm, model, style
 from sentria.operators.sentences import length_stats, sentences, word_rows
-from sentria.sources import read_table, with_columns_only
-from sentria.streaming.documents import stream_sentences
+from sentria.sources import read_table, shared_dir, stages, with_columns_only
+from sentria.streaming.documents import stream_counts, stream_sentences
 
 MODELS, STYLES = ["model_a", "model_b"], ["direct", "coached"]
 PURE = ("daigt_human", "daigt_ai", "self_ai_fresh", "ell_nonnative")
@@ -272,8 +275,7 @@ def roc_auc(spark, base):
 
 
 def cohort_bias(spark, base):
-    cohort = F.when(F.col("bucket") == "ell_nonnative", "nonnative").when((F.col("split") == "test") & (F.col("bucket") == "daigt_human"), "native")
-    return evaluate.cohort_rates(scored_rows(spark, base), cohort).select("cohort", "n", "docs", r("flag_rate"))
+    return evaluate.cohort_rates(scored_rows(spark, base), _cohort()).select("cohort", "n", "docs", r("flag_rate"))
 
 
 def confident_wrong(spark, base):
@@ -322,5 +324,108 @@ def logreg_fit(spark, base):
 
 
 def gbt_fit(spark, base):
-    fitted = model.fit_gbt(feature_rows(spark, base).where("split = 'train'"))
+    """Twenty rounds; fit_gbt's default is 200."""
+    fitted = model.fit_gbt(feature_rows(spark, base).where("split = 'train'"), rounds=20)
     return spark.createDataFrame([(n, float(v)) for n, v in zip(model.FEATURES, fitted.featureImportances.toArray())], "name string, importance double")
+
+
+def _saved(spark, fitted: artifact.Linear) -> artifact.Linear:
+    at = f"{shared_dir(spark)}/sentria/model-{uuid.uuid4().hex}"
+    fitted.save(spark, at)
+    return artifact.load(spark, at)
+
+
+def saved_model_score(spark, base):
+    """Scores by a model that was saved and loaded again."""
+    return _saved(spark, artifact.fixed()).score(feature_rows(spark, base)).select("sentence_uid", "split", r("prob"), "predicted")
+
+
+def fitted_scores(spark, base):
+    """Trained, saved, loaded: the test rows' scores and reasons."""
+    rows = feature_rows(spark, base)
+    fitted = _saved(spark, artifact.train(rows.where("split = 'train'")))
+    scored = model.with_reasons(fitted.score(rows.where("split = 'test'")), model=list(fitted.terms))
+    return scored.select("sentence_uid", "label", r("prob"), "predicted", F.array_join("reasons", " ").alias("reasons"))
+
+
+def _cohort() -> Column:
+    return F.when(F.col("bucket") == "ell_nonnative", "nonnative").when((F.col("split") == "test") & (F.col("bucket") == "daigt_human"), "native")
+
+
+def bias_gap(spark, base):
+    g = evaluate.bias_gap(evaluate.cohort_rates(scored_rows(spark, base), _cohort()))
+    return g.select("n_sentences", "n_essays", r("false_positive_rate"), "native_n_sentences", r("native_false_positive_rate"), r("gap_percentage_points"))
+
+
+def evaluation_report(spark, base):
+    """Trained on the train rows; one JSON text of metrics, bias and examples on the test rows."""
+    rows = feature_rows(spark, base).withColumn("ord", F.regexp_extract("sentence_uid", r"_s(\d+)$", 1).cast("int"))
+    return artifact.report(rows, artifact.train(rows.where("split = 'train'")), PURE, _cohort())
+
+
+def _stub_model():
+    """A model that can be replayed: it knows the word before and how far it has read."""
+    return lambda words: [((len(words[i]) + i % 7) / 10.0, i % 5) for i in range(len(words) - 1)]
+
+
+def windowed_scores(spark, base):
+    """The windowed scorer with a stub and short windows."""
+    d = docs(spark, base).select("doc_id", T.tokens(F.col("doc_text")).alias("tokens"))
+    return lm.windowed(d, _stub_model, window=16, stride=8).select("doc_id", "pos", r("nll"), "rank")
+
+
+def word_bounds(spark, base):
+    """Which bounds of words each chunk meets."""
+    n = generate.word_count(F.col("chunk_text"))
+    rows = chunks(spark, base, "self_ai_fresh_chunks").where("chunk_text is not null").select("doc_id", "chunk_idx", n.alias("n"))
+    return rows.select("*", (F.col("n") >= CONFIG.essay_words).alias("essay"), (F.col("n") >= CONFIG.rework_words).alias("rework"), (F.col("n") >= CONFIG.reworked_words).alias("reworked"), (F.col("n") >= CONFIG.sentence_words).alias("sentence"))
+
+
+def style_per_document(spark, base):
+    return corpus.choice_per_group(chunks(spark, base).where("doc_id is not null").select("doc_id").distinct(), "doc_id", STYLES)
+
+
+def filled_templates(spark, base):
+    asked = with_columns_only(read_table(spark, base, "generation_jobs"), "job_id", "user_message", "prompt_style", distinct=True)
+    return asked.select("job_id", generate.filled("Write in style {style}.\n\nPrompt: {prompt}", style=F.col("prompt_style"), prompt=F.col("user_message")).alias("message")).distinct()
+
+
+def _stub_generator():
+    def run(messages: list[str]) -> list[str]:
+        return ["Title: an answer\n" + f"{m} " * 4 for m in messages]
+
+    return run
+
+
+def generated_essays(spark, base):
+    """Batched generation with a stub: answers cleaned, of 80 words or more."""
+    asked = with_columns_only(read_table(spark, base, "generation_jobs"), "job_id", "user_message", distinct=True).where("user_message is not null")
+    return generate.kept(generate.generated(asked, _stub_generator, "user_message")).select("job_id", "chunk_text").distinct()
+
+
+def _first_word(text: str | None) -> str:
+    return text.split()[0]
+
+
+def row_errors(spark, base):
+    """A function that fails on some rows: what it gave, and the kind of error of the others."""
+    rows = generate.with_errors(with_columns_only(read_table(spark, base, "documents"), "doc_id", "text"), "text", _first_word)
+    return rows.select("doc_id", F.coalesce(F.length("result"), F.lit(-1)).alias("length"), F.substring_index("error", ":", 1).alias("error"))
+
+
+def single_split(spark, base):
+    """The documents of the preferred split of those there are."""
+    rows = docs(spark, base, "split").where("split is not null").select("doc_id", F.lower(F.trim("split")).alias("split")).distinct()
+    names = sorted(x["split"] for x in rows.select("split").distinct().collect())
+    return rows.where(F.col("split") == stages.preferred(names)) if names else rows
+
+
+def stream_window_counts(spark, base):
+    """Documents as a stream, in windows of a day of event time, through readStream and writeStream."""
+    schema = read_table(spark, base, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{base}/documents.parquet*")
+    at = f"{shared_dir(spark)}/sentria/stream-{uuid.uuid4().hex}"
+    counts = stream_counts(stream, "collected_at", "1 day", "30 minutes", text="text")
+    query = counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{at}-state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(at)).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(at).select(F.unix_timestamp("start").alias("start"), "documents", F.coalesce("words", F.lit(0)).alias("words"))

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentria.functions import text as T
-from sentria.operators import analyze, corpus, evaluate, history, lm, model, report, style
+from sentria.operators import analyze, artifact, corpus, evaluate, generate, history, lm, model, report, style
 from sentria.operators.sentences import length_stats, sentences, word_rows
-from sentria.sources import with_columns_only
+from sentria.sources import stages, with_columns_only
 from sentria.streaming.documents import stream_counts, stream_sentences
 
 
@@ -293,3 +293,74 @@ def test_streaming(spark, tmp_path):
 def test_missing_columns(spark):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     assert with_columns_only(df, "a", "zz").first().asDict() == {"a": 1, "zz": None}
+
+
+def test_model_artifact(spark, tmp_path):
+    """Trained, saved, loaded: the same scores; a model of other features is refused."""
+    rng = random.Random(8)
+    rows = [(i, int(x > 0), float(x), *[rng.gauss(0, 1) for _ in model.FEATURES[1:]]) for i in range(300) for x in [rng.gauss(0, 1)]]
+    df = spark.createDataFrame(rows, "sentence_uid int, label int, " + ", ".join(f"{c} double" for c in model.FEATURES))
+    fitted = artifact.train(df)
+    fitted.save(spark, str(tmp_path / "m"))
+    got = artifact.load(spark, str(tmp_path / "m"))
+    assert got == fitted and got.terms[0][1] > 1
+    m = artifact.metrics(got.score(df))
+    assert m["auc"] > 0.97 and m["tp"] + m["fn"] == sum(r[1] for r in rows)
+    artifact.Linear(got.terms[:3], 0.0).save(spark, str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        artifact.load(spark, str(tmp_path / "other"))
+    gbt = model.fit_gbt(df, rounds=3)
+    assert gbt.getNumTrees == 3
+
+
+def test_windows(spark):
+    """Every token but the first is scored once, by the first window that can."""
+    def make():
+        return lambda words: [(float(len(words)), i) for i in range(len(words) - 1)]
+
+    rows = spark.createDataFrame([(1, ["w"] * 20), (2, ["w"]), (3, []), (4, None), (5, ["w"] * 8)], "doc_id int, tokens array<string>")
+    got = sorted(tuple(r) for r in lm.windowed(rows, make, window=8, stride=4).collect())
+    assert [g[1] for g in got if g[0] == 1] == list(range(1, 20)) and [g[3] for g in got if g[0] == 1] == [0, 1, 2, 3, 4, 5, 6, 3, 4, 5, 6, 3, 4, 5, 6, 3, 4, 5, 6]
+    assert [g[1] for g in got if g[0] == 5] == list(range(1, 8)) and {g[0] for g in got} == {1, 5}
+    with pytest.raises(ValueError):
+        lm.windowed(rows, make, window=4, stride=4)
+
+
+def test_generation(spark):
+    """A batch that fails is told, and the others go on."""
+
+    def make():
+        def run(messages):
+            if "boom" in messages:
+                raise MemoryError
+            return [f'"{m} ' * 50 for m in messages]
+
+        return run
+
+    jobs = spark.createDataFrame([(i, "boom" if i == 2 else f"word{i}") for i in range(8)], "id int, message string").coalesce(1)
+    rows = generate.generated(jobs, make, batch=2)
+    assert sorted(r["id"] for r in rows.where("error = 'MemoryError'").collect()) == [2, 3]
+    assert sorted(r["id"] for r in generate.kept(rows, 50).collect()) == [0, 1, 4, 5, 6, 7] and generate.kept(rows, 51).count() == 0
+    with pytest.raises(ValueError):
+        generate.filled("{a} {b}", a=F.lit(1))
+    got = {r["id"]: (r["result"], r["error"]) for r in generate.with_errors(spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string"), "t", lambda t: t.split()[1]).collect()}
+    assert got[1] == ("b", None) and got[2][0] is None and got[2][1].startswith("AttributeError")
+
+
+def test_stages(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    at = str(tmp_path / "stage")
+    assert stages.stage(spark, at, build).count() == stages.stage(spark, at, build).count() == 3 and len(made) == 1
+    (tmp_path / "stage" / "_SUCCESS").unlink()
+    assert stages.stage(spark, at, build).count() == 3 and len(made) == 2
+    assert len(stages.optional(spark, [at, str(tmp_path / "none")])) == 1
+    with pytest.raises(FileNotFoundError):
+        stages.optional(spark, [str(tmp_path / "none")])
+    assert stages.preferred(["test", "train"]) == "train" and stages.preferred(["b", "a"]) == "b"
+    with pytest.raises(ValueError):
+        stages.preferred([])
