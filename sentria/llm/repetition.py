@@ -218,10 +218,10 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
 
 def ablation(book: DataFrame, policy: str = "strict-v1") -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone, and that are still
-    rejected without it; by bitwise aggregation of the counted bits."""
+    rejected without it; by bitwise aggregation of the counted bits. book: a ledger, or its (bits, count)."""
     names = [n for n, _ in RULES]
     all_bits = mask(policy)
-    counted = book.groupBy("bits").count()
+    counted = book if "count" in book.columns else book.groupBy("bits").count()
     rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(1 << names.index(n)).cast("long").alias("bit")) for n in POLICIES[policy]])).alias("r")
     rows = counted.select("bits", "count", rules).select("count", "r.rule", F.col("bits").bitwiseAND(F.lit(all_bits)).alias("bits"), "r.bit")
     has = F.col("bits").bitwiseAND(F.col("bit")) != 0
@@ -245,8 +245,17 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, base: str) -> DataFrame:
-    return book(spark, base)
+    """The ledger, measurements rounded, with the policies (by name and version) that reject each document."""
+    rows = book(spark, base)
+    names = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(mask(p))) != 0, F.lit(p)) for p in sorted(POLICIES)]), lambda x: x.isNotNull())
+    return rows.select("source", "doc_id", "n_words", *[F.round(n, 6).alias(n) for n, _ in RULES], "bits", F.array_join(names, " ").alias("rejected_by"))
 
 
 def p4_ablation(spark: SparkSession, base: str) -> DataFrame:
-    return ablation(book(spark, base))
+    """The ablation of every policy; the ledger's bits are counted once."""
+    counted = written(book(spark, base).groupBy("bits").count(), "bits")
+    parts = [ablation(counted, p).select(F.lit(p).alias("policy"), "*") for p in sorted(POLICIES)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -200,6 +200,6 @@ def p7_checks(spark: SparkSession, base: str) -> DataFrame:
     parts = torn.agg(F.count_if(F.col("splits") > 1).alias("torn"), F.max("n").alias("largest"))
     targets = table(spark, base, "split_targets", "split", "share").where("split is not null and share > 0")
     by = targets.join(each.groupBy("split").agg(F.sum("n").alias("n")), "split", "left")
-    one = sums.join(parts).where("documents > 0")
-    off = by.join(one).agg(F.max(F.abs(F.coalesce("n", F.lit(0)) / F.col("n_rows") - F.col("share")) - F.greatest(F.lit(0.01), F.col("largest") / F.col("n_rows"))).alias("off"))
-    return one.join(off).select("documents", "n_rows", "n_ones", "torn", (F.coalesce("off", F.lit(0.0)) <= 0).alias("on_target"))
+    one = sums.join(F.broadcast(parts), F.lit(True), "inner").where("documents > 0")  # aggregates of one row
+    off = by.join(F.broadcast(one), F.lit(True), "inner").agg(F.max(F.abs(F.coalesce("n", F.lit(0)) / F.col("n_rows") - F.col("share")) - F.greatest(F.lit(0.01), F.col("largest") / F.col("n_rows"))).alias("off"))
+    return one.join(F.broadcast(off), F.lit(True), "inner").select("documents", "n_rows", "n_ones", "torn", (F.coalesce("off", F.lit(0.0)) <= 0).alias("on_target"))
