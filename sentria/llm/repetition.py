@@ -27,8 +27,8 @@ from sentria.llm.common import MARKS, table
 from sentria.sources import written
 
 RUN = 6
-#: documents of more parts are measured without gathering them
-MOST_PARTS = 20_000
+#: documents of more parts, or of more characters, are measured without gathering them
+MOST_PARTS, MOST_CHARS = 20_000, 50_000_000
 #: numerals such as Roman ones and one half, which \w takes beside letters and digits (there are none beyond)
 NUMERALS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
 #: a run of letters; in scripts without spaces, a phrase
@@ -120,13 +120,15 @@ def ledger(parts: DataFrame, *key: str, order: str = "ord", text: str = "text",
     of more than ``most_parts`` parts are never gathered: windows that spill measure them."""
     types = dict(parts.dtypes)
     parts = parts.where(F.col(text).isNotNull())
-    sizes = parts.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most_parts)
+    is_huge = (F.col("n") > most_parts) | ((F.col("n") > 1) & (F.col("chars") > MOST_CHARS))
+    measures = (F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"))
+    sizes = parts.groupBy(*key).agg(*measures).where(is_huge)
     huge = [tuple(r) for r in sizes.select(*key).take(1)]
     names = [n for n, _ in RULES]
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), "n_words long", *(f"{n} double" for n in names), "bits long"])
     if huge:
         # repeated rows aside
-        sizes = parts.join(sizes.select(*key), list(key), "left_semi").select(*key, order, text).distinct().groupBy(*key).count().where(F.col("count") > most_parts)
+        sizes = parts.join(sizes.select(*key), list(key), "left_semi").select(*key, order, text).distinct().groupBy(*key).agg(*measures).where(is_huge)
         sizes = written(sizes.select(*key), "huge")
         rest = parts.join(sizes, list(key), "left_anti")
         return _gathered(rest, key, order, text, schema).unionByName(_windowed(parts.join(sizes, list(key), "left_semi"), key, order, text))
