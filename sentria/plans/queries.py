@@ -233,8 +233,8 @@ def doc_perplexity(spark, base):
 
 
 def nll_ratio(spark, base):
-    w = word_rows(sentences(docs(spark, base)))
-    return lm.nll_ratio(lm.bigram_scores(w), lm.unigram_scores(w)).select("doc_id", r("ratio"))
+    d = with_columns_only(read_table(spark, base, "doc_manifest"), "doc_id", "doc_text")
+    return lm.document_ratio(d).select("doc_id", r("ratio"))
 
 
 def feature_matrix(spark, base):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentria.functions import text as T
 from sentria.operators import analyze, artifact, corpus, evaluate, generate, history, lm, model, report, style
 from sentria.operators.sentences import length_stats, sentences, word_rows
+from sentria.plans import registry
 from sentria.sources import stages, with_columns_only
 from sentria.streaming.documents import stream_counts, stream_sentences
 
@@ -173,6 +174,29 @@ def test_language_model(spark):
     assert lm.nll_ratio(scores, lm.unigram_scores(word_rows(s))).count() == 1
 
 
+def test_document_ratio(spark, monkeypatch):
+    texts = ["The cat sat. The CAT ran! I can't, e.g. now.", "Cat.", "Two words", "...", "", " \t", "naïve Über-straße İstanbul \u212aelvin", None, "the the the", "word " * 900]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, "The dog sat.")]
+    docs = spark.createDataFrame(rows, "doc_id int, doc_text string")
+    several = spark.createDataFrame([(50, "Cc dd. One. Dd cc."), (50, "Aa bb. Bb aa."), (50, "Aa bb. Bb aa.")], "doc_id int, doc_text string")
+    in_turns = spark.createDataFrame([(50, "Aa bb. Cc dd. Bb aa. One. Dd cc.")], "doc_id int, doc_text string")
+    words = word_rows(sentences(docs.distinct().where("doc_text is not null").union(in_turns)))
+    want = {r["doc_id"]: r["ratio"] for r in lm.nll_ratio(lm.bigram_scores(words), lm.unigram_scores(words)).collect()}
+    assert set(want) == {0, 2, 6, 8, 9, 50} and want[2] is None
+    for block in (lm.BLOCK, 40):  # one block, and many, some of them without words
+        monkeypatch.setattr(lm, "BLOCK", block)
+        got = {r["doc_id"]: r["ratio"] for r in lm.document_ratio(docs.union(several)).collect()}
+        assert set(got) == set(want) and all(got[k] == (v if v is None else pytest.approx(v, abs=1e-12)) for k, v in want.items())
+    for none in (docs.where("false"), docs.where("doc_text is null or doc_id = 3")):
+        assert lm.document_ratio(none).count() == 0
+
+
+def test_nll_ratio_makes_no_row_of_a_word(spark, tmp_path):
+    spark.createDataFrame([(f"d{i}", f"One two. Three word{i}.") for i in range(20)], "doc_id string, doc_text string").write.parquet(f"{tmp_path}/doc_manifest.parquet")
+    plan = registry.QUERIES["nll_ratio"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # words as rows took over 17 times the input in shuffle files
+
+
 def test_tokens_to_sentences(spark):
     spans = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 6, 9)], "doc_id int, sentence_order int, char_start int, char_end int")
     tokens = spark.createDataFrame([(1, c) for c in (0, 4, 5, 6, 9, 50)], "doc_id int, char_start int")
